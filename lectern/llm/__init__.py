@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lookalike", "neighbours", "tokenizing")
+MODULES = ("lookalike", "shared_spans", "neighbours", "tokenizing")
 
 
 def _gathered(attribute: str) -> dict:
