@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lookalike", "mojibake", "shared_spans", "neighbours", "tokenizing")
+MODULES = ("lookalike", "mojibake", "shared_spans", "neighbours", "tokenizing", "leakage")
 
 
 def _gathered(attribute: str) -> dict:
