@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lookalike", "mojibake", "shared_spans", "neighbours", "tokenizing", "leakage", "residue")
+MODULES = ("lookalike", "sentences", "mojibake", "shared_spans", "neighbours", "tokenizing", "leakage", "residue")
 
 
 def _gathered(attribute: str) -> dict:
