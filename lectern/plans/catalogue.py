@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lectern.plans import relational, search, texts
+
 FLAGSHIP = "hybrid_search"
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+QUERIES = relational.QUERIES | texts.QUERIES | search.QUERIES
+ORACLE = relational.ORACLE | texts.ORACLE | search.ORACLE
