@@ -58,7 +58,8 @@ def substring_tags(texts: DataFrame, variants: DataFrame, id_col: str, text_col:
     names = names.select("entity_id", "name", F.substring("name", 1, 3).alias("gram"))
     low = texts.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.lower(text_col).alias("low"))
     places = F.sequence(F.lit(1), F.length("low"))
-    grams = F.array_distinct(F.concat(*(F.transform(places, lambda i, n=n: F.substring("low", i, n)) for n in (1, 2, 3))))
+    short = F.transform(places, lambda i: F.array(*(F.substring("low", i, n) for n in (1, 2, 3))))
+    grams = F.array_distinct(F.flatten(short))
     hits = low.select("id", F.explode(grams).alias("gram")).join(names, "gram").join(low, "id")
     return hits.where(F.col("low").contains(F.col("name"))).select("id", "entity_id").distinct()
 

@@ -73,9 +73,9 @@ def fts_or(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fts_websearch(spark: SparkSession, d: str) -> DataFrame:
-    """Passages of the items as texts, the first four longer words of each question as query."""
+    """The first two longer words of each item's passage as query, all chunks as texts."""
     items = table(spark, d, "eval_items")
-    long = F.filter(F.regexp_extract_all(F.lower("query"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= 5)
+    long = F.filter(F.regexp_extract_all(F.lower("passage"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= 5)
     queries = items.select(F.col("item_id").alias("id"), F.array_join(F.slice(long, 1, 2), " ").alias("text")).where("text <> ''")
     return R.websearch(queries, table(spark, d, "document_chunks").select("id", F.col("chunk_text").alias("text")))
 
@@ -265,7 +265,7 @@ ORACLE = {
     "max_similarity_by_text": f"WITH {_DENSE} SELECT query_id, text_id, max(score) AS best FROM dense JOIN document_chunks c ON c.id = dense.id GROUP BY ALL",
     "fts_or": f"WITH {_FTS} SELECT query_id, id, score, rank FROM fts",
     "fts_websearch": """
-        WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(query), '[a-z]+'), lambda w: length(w) >= 5)[1:2]) AS t FROM eval_items),
+        WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(passage), '[a-z]+'), lambda w: length(w) >= 5)[1:2]) AS t FROM eval_items),
              held AS (SELECT id, regexp_extract_all(lower(chunk_text), '[\\p{L}\\p{N}_]+') AS w FROM document_chunks WHERE chunk_text IS NOT NULL)
         SELECT item_id AS query_id, id FROM q JOIN held ON list_has_all(w, t) WHERE len(t) > 0""",
     "rrf_weighted": f"WITH {_ITEM}, {_FTS}, {_FUSED} SELECT query_id, id, score, rank FROM fused",

@@ -121,12 +121,24 @@ def seed_flatten(spark: SparkSession, d: str) -> DataFrame:
     return E.flatten_names(table(spark, d, "buddhist_entities"))
 
 
+def _named_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text): logged questions and chunk texts, the ids of the questions below zero."""
+    asked = table(spark, d, "api_usage").select((-F.col("id")).alias("id"), F.col("query_text").alias("text"))
+    return asked.unionByName(table(spark, d, "document_chunks").select("id", F.col("chunk_text").alias("text")))
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """(entity_id, name_text): the entities' names, and the texts' authors as further entities."""
+    authors = table(spark, d, "canon_texts").where("author is not null").groupBy(F.col("author").alias("name_text")).agg((F.min("id") + 1_000_000).alias("entity_id"))
+    return table(spark, d, "entity_name_variants").select("entity_id", "name_text").unionByName(authors)
+
+
 def ner_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return E.mentions(table(spark, d, "document_chunks"), table(spark, d, "entity_name_variants"), "id", "chunk_text")
+    return E.mentions(_named_texts(spark, d), _names(spark, d), "id", "text")
 
 
 def substring_tags(spark: SparkSession, d: str) -> DataFrame:
-    return E.substring_tags(table(spark, d, "document_chunks"), table(spark, d, "entity_name_variants"), "id", "chunk_text")
+    return E.substring_tags(_named_texts(spark, d), _names(spark, d), "id", "text")
 
 
 def trigram_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +215,9 @@ def _fold_sql(size: str, before: str, after: str, joiner: str) -> str:
 _N_WORDS = f"len({SQL_WORDS})::BIGINT"
 _SQL_TRIGRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 _POSITION = "chunk_index::BIGINT * 10000000 + id"
-_OWNERS = "SELECT name_text, min(entity_id) AS entity_id FROM entity_name_variants WHERE name_text IS NOT NULL AND trim(name_text) <> '' GROUP BY name_text"
+_NAMED_TEXTS = "SELECT -id AS id, query_text AS text FROM api_usage UNION ALL SELECT id, chunk_text FROM document_chunks"
+_NAMES = "SELECT entity_id, name_text FROM entity_name_variants UNION ALL SELECT min(id) + 1000000, author FROM canon_texts WHERE author IS NOT NULL GROUP BY author"
+_OWNERS = f"SELECT name_text, min(entity_id) AS entity_id FROM ({_NAMES}) WHERE name_text IS NOT NULL AND trim(name_text) <> '' GROUP BY name_text"
 QUERIES = {f.__name__: f for f in (
     token_estimates, length_guards, clean_whitespace, html_strip, notes_strip, boilerplate_strip, ocr_clean, chunk_words, chunk_chars, chunk_tokens,
     chunk_pending, chunk_single, chunk_verses, header_split, range_classify, keyword_classify, roman_chapters, asof_chapter, carried_section,
@@ -229,10 +243,10 @@ ORACLE = {
     "seed_flatten": "SELECT DISTINCT id AS entity_id, name_text, language, coalesce(name_text = english_preferred AND language = 'en', false) AS is_primary FROM (" + " UNION ALL ".join(f"SELECT id, english_preferred, {c} AS name_text, '{lang}' AS language FROM buddhist_entities" for c, lang in E.NAME_COLUMNS.items()) + " UNION ALL SELECT id, english_preferred, unnest(english_alternates), 'en' FROM buddhist_entities) WHERE name_text IS NOT NULL AND trim(name_text) <> ''",
     "ner_mentions": f"""
         WITH names AS (SELECT entity_id, ' ' || array_to_string(regexp_extract_all(lower(name_text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), ' ') || ' ' AS name FROM ({_OWNERS})),
-             texts AS (SELECT id, ' ' || array_to_string(regexp_extract_all(lower(chunk_text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), ' ') || ' ' AS t FROM document_chunks WHERE chunk_text IS NOT NULL)
+             texts AS (SELECT id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), ' ') || ' ' AS t FROM ({_NAMED_TEXTS}) WHERE text IS NOT NULL)
         SELECT id, entity_id, min(length(before) - length(replace(before, ' ', '')))::INTEGER AS first_word
         FROM (SELECT id, entity_id, substring(t, 1, strpos(t, name) - 1) AS before FROM texts JOIN names ON contains(t, name) WHERE trim(name) <> '') GROUP BY id, entity_id""",
-    "substring_tags": f"SELECT DISTINCT id, entity_id FROM document_chunks JOIN ({_OWNERS}) n ON contains(lower(chunk_text), lower(name_text))",
+    "substring_tags": f"SELECT DISTINCT id, entity_id FROM ({_NAMED_TEXTS}) JOIN ({_OWNERS}) n ON contains(lower(text), lower(name_text))",
     "trigram_lookup": f"""
         WITH q AS (SELECT id AS query_id, {_SQL_TRIGRAMS.format(t='english_preferred')} AS g FROM buddhist_entities), n AS (SELECT id AS name_id, {_SQL_TRIGRAMS.format(t='name_text')} AS h FROM entity_name_variants),
              s AS (SELECT query_id, name_id, round(len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))), 6) AS score FROM q, n WHERE len(g) > 0 AND len(h) > 0)
