@@ -47,8 +47,7 @@ def test_clashing_column_is_replaced(spark):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/document_chunks.parquet").select(F.col("chunk_text").alias("text"))
-    return sentences.train(rows)
+    return sentences.train(sentences.text_contexts(spark.read.parquet("/root/testdata/sf0.01/document_chunks.parquet")))
 
 
 CASES = [
@@ -82,9 +81,9 @@ def test_sentences_cover_the_text(model, text):
 
 def test_sentences_of_odd_rows(spark, model):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, "One. Two."), (5, "x" * 200_000)], "id bigint, chunk_text string")
-    got = sentences.sentences(df, model).orderBy("id", "start_char").collect()
+    got = sentences.sentences(sentences.text_contexts(df), model).orderBy("id", "start_char").collect()
     assert [tuple(r) for r in got] == [(4, 0, 4), (4, 5, 9), (5, 0, 200_000)]
-    assert sentences.sentences(df.limit(0), model).count() == 0
+    assert sentences.sentences(sentences.text_contexts(df.limit(0)), model).count() == 0
 
 
 # 3: wrong encodings
