@@ -15,7 +15,9 @@ marks for gaps, and stray code, links, markup and control tokens are not a case.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import re._parser as sre
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,17 +91,6 @@ STATUS = (
 )
 #: A line of one sentence, once or several times.
 UNIT = r"^[^\p{L}\p{N}]*([^\n]{4,80}?)(?:[\s.。!！…।]+\1)*[^\p{L}\p{N}]*$"
-# What a line must hold, in lower case, for the rules on messages and filler to look at it.
-CUES = (
-    "javascript", "script", "browser", "human", "moment", "database", "session", "reached", "too long to respond", "traceback", "file \"",
-    "error:", "error ", "erreur", "fehler", "exception", "segmentation", "stack trace", "warning:", "syntax", "complete your request",
-    "permission", "requested", "looking for", "nicht gefunden", "introuvable", "non trouv", "no encontrada", "no existe", "non trovata",
-    "encontrada", "не найдена", "页", "頁", "錯誤", "错误", "拒", "ページ", "الصفحة", "خطأ", "पृष्ठ", "त्रुटि", "oops", "not found", "forbidden",
-    "unavailable", "gateway", "timeout", "time-out", "too many requests", "gone", "bad request", "unauthorized", "not allowed", "denied",
-    "construction", "coming soon", "moved permanently", "lorem", "ipsum", "consectetur", "adipiscing", "eiusmod", "incididunt", "nostrud",
-    "foo", "bar ", "baz", "qux", "asdf", "qwer", "zxcv", "jkl", "blah", "bla ", "xxx", "yada", "sample text", "dummy", "placeholder", "filler",
-    "blindtext", "texto", "texte", "testo", "示例", "填写", "填寫", "テキスト", "पाठ", "النص", "نص تجريبي",
-)
 # Words by which a sentence speaks about such things.
 ABOUT = r"(?:style guides?|the way a template|template marks|an? error page|such as|so-called|nonsense|in braces|in brackets|a notice such|reads? like|what is called|the phrase|the words)"
 # Sentences that stand where text should come.
@@ -110,12 +101,53 @@ STANDINGS = (
 # Words of well-known filler.
 LOREM = "lorem|ipsum|dolor|dolore|sit|amet|consectetur|adipiscing|elit|sed|eiusmod|tempor|incididunt|labore|magna|aliqua|quis|nostrud|veniam|enim|minim|exercitation|ullamco|laboris|nisi|aliquip|commodo|consequat|duis|aute|irure|ut|et|do|ad|in|ex|ea|sint|occaecat|cupidatat|non|proident|sunt|culpa|qui|officia|deserunt|mollit|anim|id|est|laborum|reprehenderit|voluptate|velit|esse|cillum|eu|fugiat|nulla|pariatur|excepteur"
 NONSENSE = "foo|bar|baz|qux|quux|asdf|asdfgh|qwer|qwerty|zxcv|zxcvb|jkl|hjkl|blah|bla|xxx|yada|test"
+WORDY = rf"lorem|ipsum|consectetur|adipiscing|eiusmod|incididunt|nostrud|(?<!\p{{L}})(?:{NONSENSE})\W+(?:{NONSENSE})(?!\p{{L}})"
+
+
+def _required(parsed: Iterable) -> frozenset[str] | None:
+    """Literals of which every match of a parsed rule holds at least one; None if there are none."""
+    found, run = [], ""
+    for op, value in [*parsed, (None, None)]:
+        if op is sre.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            found.append(frozenset([run.lower()]))
+        run, parts = "", [None]
+        if op is sre.SUBPATTERN:
+            parts = [_required(value[-1])]
+        elif op is sre.BRANCH:
+            parts = [_required(p) for p in value[1]]
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and value[0]:
+            parts = [_required(value[2])]
+        if None not in parts:
+            found.append(frozenset().union(*parts))
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+def literals(patterns: Iterable[str]) -> list[str]:
+    """What a text in lower case must hold, one at least, for any of the rules to match it: derived from the rules."""
+    every: set[str] = set()
+    for p in patterns:
+        parts = _required(sre.parse(re.sub(r"\\p\{\w\}", r"\\w", p)))
+        if parts is None:
+            raise ValueError(f"no literal is required by {p}")
+        every |= parts
+    return sorted(x for x in every if not any(y != x and y in x for y in every))
 
 
 def _any(column: str, patterns: tuple[str, ...]) -> Column:
     return F.col(column).rlike("|".join(f"(?:{p})" for p in patterns))
 
 
+def _holds(column: str, patterns: tuple[str, ...]) -> Column:
+    """A cheap look whether any of the rules can match at all."""
+    cue = F.lit(False)
+    for word in literals(patterns):
+        cue = cue | F.col(column).contains(word)
+    return cue
+
+
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column that is computed once a row, however often later expressions use it."""
     return df.select("*", F.explode(F.array(value)).alias(name))
@@ -133,34 +165,32 @@ def residue_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, kind, line): the lines with residue of every document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("text is not null and trim(text) <> ''")
     lines = rows.select("doc_id", "source", F.explode(F.split("text", r"[\r\n\u2028\u2029]+")).alias("line")).where(F.trim("line") != "")
-    # a cheap look decides which lines can match a rule at all; the others cost nothing more
-    plain = _once(lines, "plain", F.lower("line"))
-    cue = F.col("plain").rlike(r"[{}%$#@_<>]|\[\D|&lt;|undefined|null|text here|goes here")
-    for word in CUES:
-        cue = cue | F.col("plain").contains(word)
-    repeats = (F.length("plain") <= 2 * MESSAGE_CHARS) & F.expr("instr(substring(plain, 9), substring(plain, 1, 8)) > 0")
-    lines = _once(_once(plain, "cue", cue), "repeats", repeats).drop("plain")
-    lines = lines.where("cue or repeats or length(line) <= 100")
     # sentences that speak about such things, and short quotations, can't be residue
     speaks = rf"(?i)(?:^|(?<=[.!?。！？।॥]))[^.!?。！？।॥]*?\b{ABOUT}\b[^.!?。！？।॥]*"
-    said = F.when(F.col("line").rlike(rf"(?i)\b{ABOUT}\b"), F.regexp_replace("line", speaks, " ")).otherwise(F.col("line"))
-    lines = _once(lines, "said", F.when(F.col("cue"), F.regexp_replace(said, r"[“\"«‘][^“”\"«»‘’\n]{1,40}[”\"»’]", " ")).otherwise(F.col("line")))
-    lines = _once(lines, "low", F.lower(F.regexp_replace("said", r"</?[a-zA-Z][^<>]{0,60}>", "")))
-    lines = _once(lines, "marks", F.col("cue") & F.col("said").rlike(r"[{}%$#@_<>]|\[\D|&lt;|(?i:undefined|null|here)"))
+    repeats = (F.length("plain") <= 2 * MESSAGE_CHARS) & F.expr("instr(substring(plain, 9), substring(plain, 1, 8)) > 0")
+    lines = _once(_once(lines, "plain", F.lower("line")), "repeats", repeats)
+    lines = _once(lines, "rest", F.when(_holds("plain", (ABOUT,)) & F.col("line").rlike(rf"(?i)\b{ABOUT}\b"), F.regexp_replace("line", speaks, " ")).otherwise(F.col("line"))).drop("line", "plain")
+    quotes = F.lit(False)
+    for mark in "“\"«‘":
+        quotes = quotes | F.col("rest").contains(mark)
+    lines = _once(lines, "said", F.when(quotes, F.regexp_replace("rest", r"[“\"«‘][^“”\"«»‘’\n]{1,40}[”\"»’]", " ")).otherwise(F.col("rest")))
+    untagged = lambda c: F.lower(F.when(F.col(c).contains("<"), F.regexp_replace(c, r"</?[a-zA-Z][^<>]{0,60}>", "")).otherwise(F.col(c)))
+    lines = _once(_once(lines, "low", untagged("said")), "whole", untagged("rest")).drop("rest")
+    lines = _once(lines, "raw", F.lower("said"))
     every, lorem, nonsense = (F.size(F.regexp_extract_all("low", F.lit(p), F.lit(0))) for p in (r"\p{L}+", rf"(?<!\p{{L}})(?:{LOREM})(?!\p{{L}})", rf"(?<!\p{{L}})(?:{NONSENSE})(?!\p{{L}})"))
-    wordy = F.col("cue") & F.col("low").rlike(rf"lorem|ipsum|consectetur|adipiscing|eiusmod|incididunt|nostrud|(?<!\p{{L}})(?:{NONSENSE})\W+(?:{NONSENSE})(?!\p{{L}})")
+    wordy = _holds("low", (WORDY,)) & F.col("low").rlike(WORDY)
     filler = wordy & (((every >= 5) & (lorem >= 0.6 * every)) | ((every >= 4) & (nonsense >= 0.8 * every)) | ((every >= 3) & (nonsense == every)))
     # the sentence that a line holds, once or again and again
-    lines = _once(lines, "unit", F.when(F.col("repeats"), F.regexp_extract("low", UNIT, 1)).when(F.length("low") <= 100, F.col("low")).otherwise(""))
-    repeated = F.col("repeats") & F.col("unit").rlike(r"\p{L}.*\p{L}") & (F.length("low") >= 3 * F.length("unit")) & F.col("low").rlike(r"[ .。।]") & ~F.col("unit").rlike(r"^(.)\1*$")
+    lines = _once(lines, "unit", F.when(F.col("repeats"), F.regexp_extract("whole", UNIT, 1)).when(F.length("whole") <= 100, F.col("whole")).otherwise(""))
+    repeated = F.col("repeats") & F.col("unit").rlike(r"\p{L}.*\p{L}") & (F.length("whole") >= 3 * F.length("unit")) & F.col("whole").rlike(r"[ .。।]") & ~F.col("unit").rlike(r"^(.)\1*$")
     kind = (
-        F.when(F.col("marks") & _any("said", CERTAIN), "placeholder")
-        .when(F.col("marks") & _any("said", UNSET), "unset")
-        .when(filler | F.col("cue") & _any("low", STANDINGS), "filler")
+        F.when(_holds("raw", CERTAIN) & _any("said", CERTAIN), "placeholder")
+        .when(_holds("raw", UNSET) & _any("said", UNSET), "unset")
+        .when(filler | _holds("low", STANDINGS) & _any("low", STANDINGS), "filler")
         .when(repeated, "repeated")
-        .when(F.col("cue") & _any("low", MESSAGES), "message")
-        .when(F.col("cue") & _any("low", STATUS), "status")
-        .when(F.col("marks") & _any("said", DOUBTFUL), "doubtful")
+        .when(_holds("low", MESSAGES) & _any("low", MESSAGES), "message")
+        .when(_holds("low", STATUS) & _any("low", STATUS), "status")
+        .when(_holds("raw", DOUBTFUL) & _any("said", DOUBTFUL), "doubtful")
     )
     lines = _once(lines, "kind", kind)
     # only lines that a rule names are looked up among the recurring ones, so only these are masked and hashed

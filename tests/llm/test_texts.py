@@ -166,3 +166,27 @@ def test_doubtful_placeholders_need_a_learned_name(spark):
     rows = [(1, "{{ passage }}", "a"), (2, "${passage}", "b"), (3, "The {passage} waits.", "c"), (4, "The {torn} waits.", "c")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     assert {r["doc_id"] for r in residue.residue_lines(df).collect()} == {1, 2, 3}
+
+
+EXAMPLES = [
+    "500 Internal Server Error", "Internal Server Error", "जावास्क्रिप्ट चालू करें", "تفعيل جافا سكريبت", "Attention Required!", "This site requires cookies.",
+    "Uncaught TypeError", "Sample paragraph.", "Enter title here", "Add content here", "test test test", "NaN, NaN",
+]
+
+
+def test_no_cue_hides_a_line_from_its_rule(spark):
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(EXAMPLES)], "doc_id bigint, text string, source string")
+    assert {r["doc_id"] for r in residue.residue_lines(df).collect()} == set(range(len(EXAMPLES)))
+
+
+@pytest.mark.parametrize(
+    ("rule", "texts"),
+    [
+        (r"(?i)requires? (?:Java|cookies)|^[^\p{L}]*oops", ["it Requires JAVA", "require cookies", "- Oops"]),
+        (r"(?:ab|ac)?x[yz]+end|(?:foo){2,}", ["abxyend", "xzend", "foofoo"]),
+    ],
+)
+def test_cues_come_from_the_rules(rule, texts):
+    assert all(any(cue in t.lower() for cue in residue.literals([rule])) for t in texts)
+    with pytest.raises(ValueError):
+        residue.literals([r"\d+"])
