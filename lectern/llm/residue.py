@@ -26,8 +26,6 @@ from lectern.session import cut, spread
 
 #: Sources from which a line must come to count as recurring, and a placeholder name to be learned.
 SOURCES, NAME_SOURCES = 3, 2
-#: Length up to which a line can be a message; longer ones are text.
-MESSAGE_CHARS = 400
 NAME = r"[A-Za-z]+(?:[._ ][A-Za-z]+){0,3}"
 # Spellings of placeholders that leave no doubt; the first group is the name.
 CERTAIN = (
@@ -89,8 +87,9 @@ STATUS = (
     r"^[^\p{L}\p{N}]*(?:access denied|page not found|service unavailable|internal server error)\b[.!:]",
     r"^[^\p{L}\p{N}]*(?:error|error code|fehler|erreur)\s*:? ?\d{3}\b.{0,40}$",
 )
-#: A line of one sentence, once or several times.
-UNIT = r"^[^\p{L}\p{N}]*([^\n]{4,80}?)(?:[\s.。!！…।]+\1)*[^\p{L}\p{N}]*$"
+#: A line of one short sentence or phrase, once or several times (possessive: no recursion, however long the line), and what ends sentences.
+UNIT = r"^[^\p{L}\p{N}]*([^\n]{4,80}?)(?:[\s.。!！…।]+\1)*+[^\p{L}\p{N}]*$"
+ENDS = r"[.。!！?？…।॥]+"
 # Words by which a sentence speaks about such things.
 ABOUT = r"(?:style guides?|the way a template|template marks|an? error page|such as|so-called|nonsense|in braces|in brackets|a notice such|reads? like|what is called|the phrase|the words)"
 # Sentences that stand where text should come.
@@ -167,8 +166,7 @@ def residue_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = rows.select("doc_id", "source", F.explode(F.split("text", r"[\r\n\u2028\u2029]+")).alias("line")).where(F.trim("line") != "")
     # sentences that speak about such things, and short quotations, can't be residue
     speaks = rf"(?i)(?:^|(?<=[.!?。！？।॥]))[^.!?。！？।॥]*?\b{ABOUT}\b[^.!?。！？।॥]*"
-    repeats = (F.length("plain") <= 2 * MESSAGE_CHARS) & F.expr("instr(substring(plain, 9), substring(plain, 1, 8)) > 0")
-    lines = _once(_once(lines, "plain", F.lower("line")), "repeats", repeats)
+    lines = _once(lines, "plain", F.lower("line"))
     lines = _once(lines, "rest", F.when(_holds("plain", (ABOUT,)) & F.col("line").rlike(rf"(?i)\b{ABOUT}\b"), F.regexp_replace("line", speaks, " ")).otherwise(F.col("line"))).drop("line", "plain")
     quotes = F.lit(False)
     for mark in "“\"«‘":
@@ -181,8 +179,12 @@ def residue_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wordy = _holds("low", (WORDY,)) & F.col("low").rlike(WORDY)
     filler = wordy & (((every >= 5) & (lorem >= 0.6 * every)) | ((every >= 4) & (nonsense >= 0.8 * every)) | ((every >= 3) & (nonsense == every)))
     # the sentence that a line holds, once or again and again
-    lines = _once(lines, "unit", F.when(F.col("repeats"), F.regexp_extract("whole", UNIT, 1)).when(F.length("whole") <= 100, F.col("whole")).otherwise(""))
-    repeated = F.col("repeats") & F.col("unit").rlike(r"\p{L}.*\p{L}") & (F.length("whole") >= 3 * F.length("unit")) & F.col("whole").rlike(r"[ .。।]") & ~F.col("unit").rlike(r"^(.)\1*$")
+    lines = _once(lines, "unit", F.regexp_extract("whole", UNIT, 1))
+    parts = F.filter(F.transform(F.split("whole", ENDS), lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda x: x != "")
+    lines = _once(lines, "parts", F.when(F.col("unit") == "", F.array_distinct(parts)))
+    lines = lines.withColumn("unit", F.when(F.col("unit") != "", F.col("unit")).when(F.size("parts") == 1, F.col("parts")[0]).otherwise(F.col("whole"))).drop("parts")
+    letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
+    repeated = (F.length("whole") >= 3 * F.length("unit")) & F.col("unit").rlike(r"\p{L}.*\p{L}") & (letters("whole") >= 3 * letters("unit")) & F.col("whole").rlike(r"[ .。।]") & ~F.col("unit").rlike(r"^(.)\1*$")
     kind = (
         F.when(_holds("raw", CERTAIN) & _any("said", CERTAIN), "placeholder")
         .when(_holds("raw", UNSET) & _any("said", UNSET), "unset")
@@ -193,8 +195,9 @@ def residue_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .when(_holds("raw", DOUBTFUL) & _any("said", DOUBTFUL), "doubtful")
     )
     lines = _once(lines, "kind", kind)
-    # only lines that a rule names are looked up among the recurring ones, so only these are masked and hashed
-    hashed = F.when((F.col("kind") == "status") & (F.length("said") <= MESSAGE_CHARS), F.xxhash64(masked(F.col("said"))))
+    # of a status, the sentence itself is looked up among the recurring ones, without what follows it
+    status = F.regexp_extract("low", "|".join(f"(?:{p})" for p in STATUS), 0)
+    hashed = F.when(F.col("kind") == "status", F.xxhash64(F.trim(F.regexp_replace(masked(status), r"[^\p{L}]+", " "))))
     kept = F.when(F.col("kind").isNotNull(), F.col("said"))
     unit = F.when(F.col("unit") != "", F.xxhash64(F.trim(F.regexp_replace("unit", r"[^\p{L}]+", " "))))
     marked = cut(lines.select("doc_id", "source", "kind", hashed.alias("hash"), kept.alias("said"), unit.alias("unit")))

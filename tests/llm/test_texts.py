@@ -190,3 +190,17 @@ def test_cues_come_from_the_rules(rule, texts):
     assert all(any(cue in t.lower() for cue in residue.literals([rule])) for t in texts)
     with pytest.raises(ValueError):
         residue.literals([r"\d+"])
+
+
+def test_filler_and_status_of_any_length_and_lead(spark):
+    long = "This paragraph will be written by the editors as soon as the text of the second roll has come to them, they say"
+    rows = [
+        (0, "Aquí va el otro texto. " * 60, "a"), (1, "# Hier kommt noch etwas. Hier kommt noch etwas. Hier kommt noch etwas.", "a"), (2, "正文在這裡。正文在這裡。正文在這裡。", "a"),
+        (3, f"{long}. {long}. {long}.", "a"), (4, "Hier kommt noch etwas.", "b"), (5, long + ".", "b"), (6, "- 正文在這裡。", "b"),
+        *((7 + i, f"Page not found. The {name} of the roll " + name * 100, name) for i, name in enumerate(("swan", "reed", "well"))),
+        (10, "The swan sleeps. The reed bends. The swan sleeps.", "a"), (11, "Chapter one .................................", "a"), (12, "Access to the page was denied, the page not found. " * 2, "b"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r["doc_id"] for r in residue.residue_lines(df).collect()} == set(range(10))
+    huge = spark.createDataFrame([(1, "Wird noch ergänzt. " * 20_000, "a"), (2, "a" * 300_000 + " b", "a"), (3, "a b " * 50_000 + "c", "a")], df.schema)
+    assert {r["doc_id"] for r in residue.residue_lines(huge).collect()} == {1}
