@@ -316,12 +316,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_search(spark: SparkSession, sf_dir: str, divisor: int = 20) -> DataFrame:
     """(chunk_id, neighbour_id, cosine): rows whose id is divisible by 20 as queries against all rows, by graph search."""
     vectors = cut(usable_vectors(spread(spark.read.parquet(f"{sf_dir}/chunk_embeddings.parquet").select("chunk_id", "embedding")), "chunk_id", "embedding"))
-    _, nodes = _vertices(vectors)
+    members, nodes = _vertices(vectors)
     graph = neighbour_graph(nodes.select("id", "code"))
     queries = cut(vectors.where(F.col("id") % divisor == 0).select(F.col("id").alias("query"), "code"))
-    found = graph_search(queries, nodes.select("id", "code"), graph, k=9).where("query <> v")
-    order = Window.partitionBy("query").orderBy(F.desc("sim"), "v")
-    return found.withColumn("n", F.row_number().over(order)).where("n <= 8").select(F.col("query").alias("chunk_id"), F.col("v").alias("neighbour_id"), F.round("sim", 4).alias("cosine"))
+    # a query's own vertex is known and stands for its copies; a vertex gives its k + 1 smallest ids at most
+    own = queries.join(members.select(F.col("id").alias("query"), F.col("rep").alias("v")), "query").select("query", "v", F.lit(1.0).cast("float").alias("sim"))
+    found = graph_search(queries, nodes.select("id", "code"), graph, k=9).unionByName(own).groupBy("query", "v").agg(F.max("sim").alias("sim"))
+    small = Window.partitionBy("rep").orderBy("id")
+    targets = members.withColumn("n", F.row_number().over(small)).where("n <= 9").select(F.col("rep").alias("v"), F.col("id").alias("neighbour"))
+    order = Window.partitionBy("query").orderBy(F.desc("sim"), "neighbour")
+    expanded = found.join(targets, "v").where("query <> neighbour").withColumn("n", F.row_number().over(order)).where("n <= 8")
+    return expanded.select(F.col("query").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), F.round("sim", 4).alias("cosine"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_search": p5_search}

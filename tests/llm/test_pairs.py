@@ -118,6 +118,21 @@ def test_graph_search(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_search_returns_copies(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 16)).astype("f4")
+    x[1:21] = x[1]  # ids 1 to 20 have one direction, of which 20 is a query
+    x[11] *= 2
+    x[40] = x[1] + 0.01 * x[40]
+    spark.createDataFrame([(i, x[i].tolist()) for i in range(1, 120)], "chunk_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/chunk_embeddings.parquet")
+    got = {}
+    for r in neighbours.p5_search(spark, str(tmp_path)).collect():
+        got.setdefault(r["chunk_id"], []).append((r["neighbour_id"], round(r["cosine"], 3)))
+    assert sorted(got[20]) == [(i, 1.0) for i in range(1, 9)]
+    assert sorted(i for i, _ in got[40]) == list(range(1, 9))
+    assert set(got) == {20, 40, 60, 80, 100} and all(len(v) == 8 for v in got.values())
+
+
 # 7: leakage
 
 PASSAGE = "The drum of imagination divides the foolish tower for the faithful shore is to the nameless hermit what remorse brings while the bright river sleeps among strangers and discernment follows a cold staff"
