@@ -32,9 +32,10 @@ def normalised(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))
 
 
-def packed(df: DataFrame, id_col: str, vector_col: str, tag_cols: tuple[str, ...] = ()) -> DataFrame:
-    """(ids, units): blocks of usable vectors as unit rows of float64 bytes, with the ids beside them."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).where(f"v is not null and exists(v, x -> x <> 0) and not exists(v, x -> x is null or isnan(x))")
+def packed(df: DataFrame, id_col: str, vector_col: str, tag_col: str | None = None) -> DataFrame:
+    """(ids, units, tags): blocks of usable vectors as unit rows of float64 bytes, with the ids (and tags, if asked for) beside them."""
+    tag = F.lit(0) if tag_col is None else F.col(tag_col)
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), tag.cast("bigint").alias("tag")).where(f"v is not null and exists(v, x -> x <> 0) and not exists(v, x -> x is null or isnan(x))")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,9 +43,9 @@ def packed(df: DataFrame, id_col: str, vector_col: str, tag_cols: tuple[str, ...
                 part = batch.slice(at, BLOCK)
                 x = np.array(part.column(1).to_pylist(), "f8")
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], names=["ids", "units"])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()), pa.array([part.column(2).to_pylist()], pa.list_(pa.int64()))], names=["ids", "units", "tags"])
 
-    return rows.mapInArrow(run, "ids array<bigint>, units binary")
+    return rows.mapInArrow(run, "ids array<bigint>, units binary, tags array<bigint>")
 
 
 def block_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -65,3 +66,29 @@ def block_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])), pa.array(ids[order.ravel()]), pa.array(np.take_along_axis(sims, order, 1).ravel())], names=["query_id", "id", "sim"])
 
     return pairs.mapInArrow(run, "query_id bigint, id bigint, sim double")
+
+
+def block_best(queries: DataFrame, vectors: DataFrame, groups: int | None = None) -> DataFrame:
+    """(query_id, tag, id, sim): the best vector of each tag, from every pair of blocks; a reduction by query and tag leaves the best of all.
+
+    ``vectors`` has the column ``tags`` beside the ids.  With ``groups`` a pair of
+    blocks gives only its best tags: one of the best of all is among the best
+    wherever its best vector lies.
+    """
+    pairs = queries.select(F.col("ids").alias("q"), F.col("units").alias("x")).crossJoin(vectors.select("ids", "tags", "units"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, x, ids, tags, y in zip(*(c.to_pylist() for c in batch.columns)):
+                q, ids, tags = np.array(q), np.array(ids), np.array(tags)
+                order = np.lexsort((ids, tags))
+                first = np.flatnonzero(np.r_[True, np.diff(tags[order]) != 0])
+                sims = np.round(np.frombuffer(x).reshape(len(q), -1) @ np.frombuffer(y).reshape(len(ids), -1).T, 6)[:, order]
+                best = np.maximum.reduceat(sims, first, axis=1)
+                where = np.where(sims == np.repeat(best, np.diff(np.r_[first, len(ids)]), axis=1), ids[order], np.iinfo("i8").max)
+                at = np.minimum.reduceat(where, first, axis=1)
+                kept = np.lexsort((at, -best), axis=1)[:, :groups]
+                take = lambda a: np.take_along_axis(a, kept, 1).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, kept.shape[1])), pa.array(tags[order][first][kept.ravel()]), pa.array(take(at)), pa.array(take(best))], names=["query_id", "tag", "id", "sim"])
+
+    return pairs.mapInArrow(run, "query_id bigint, tag bigint, id bigint, sim double")

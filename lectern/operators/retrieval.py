@@ -6,15 +6,17 @@ so that no tie is left open.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import lexemes, query_terms, term_rank
-from lectern.functions.vector import block_topk, packed
+from lectern.functions.vector import block_best, block_topk, cosine, packed
 
 #: Constants of reciprocal-rank fusion: damping, weights of the two lists, boost of an entity, size of the pool.
 RRF_K, DENSE_WEIGHT, LEXICAL_WEIGHT, ENTITY_BOOST, POOL = 60, 0.7, 0.3, 0.25, 60
@@ -57,15 +59,43 @@ def lexical(queries: DataFrame, texts: DataFrame, k: int = POOL) -> DataFrame:
     return top(scored, k, F.desc("score"), "id")
 
 
+def _clauses(text: str) -> list[tuple[int, int, bool, list[str]]]:
+    """(group, number, without, lexemes) of the clauses of a query: groups are joined by OR, a clause of several lexemes is a phrase."""
+    groups: list[dict[tuple[bool, tuple[str, ...]], None]] = [{}]
+    for minus, phrase, word in re.findall(r'(?<!\S)(-?)"([^"]*)"|(\S+)', text.lower()):
+        if word == "or":
+            groups.append({})
+            continue
+        if terms := re.findall(r"\w+", word or phrase):
+            groups[-1][minus == "-" or word.startswith("-"), tuple(terms)] = None
+    return [(g, n, without, list(terms)) for g, clauses in enumerate(groups) for n, (without, terms) in enumerate(clauses)]
+
+
 def websearch(queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query_id, id): texts that hold all terms of the query, and none of those after a minus sign."""
-    signed = F.regexp_extract_all(F.lower("text"), F.lit(r"-?[\p{L}\p{N}_]+"), F.lit(0))
-    q = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(signed)).alias("t"))
-    q = q.select("query_id", F.regexp_replace("t", "^-", "").alias("term"), F.col("t").startswith("-").alias("without"))
-    need = q.where("not without").groupBy("query_id").agg(F.count("*").alias("need"))
-    held = texts.where("text is not null").select("id", F.explode(F.array_distinct(lexemes(F.col("text")))).alias("term"))
-    hits = held.join(q, "term").groupBy("query_id", "id").agg(F.count_if(~F.col("without")).alias("got"), F.count_if("without").alias("banned"))
-    return hits.join(need, "query_id").where("got = need and banned = 0").select("query_id", "id")
+    """(query_id, id): texts that hold all words and quoted phrases of the query, or of one of its parts between OR, and none of those after a minus sign."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *c) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in _clauses(t or "")]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["query_id", "g", "n", "without", "terms"])
+
+    q = queries.select(F.col("id").cast("bigint").alias("id"), "text").mapInArrow(run, "query_id bigint, g int, n int, without boolean, terms array<string>")
+    texts = texts.where("text is not null").select("id", lexemes(F.col("text")).alias("words"))
+    clause = ["query_id", "g", "n", "without"]
+    words = q.where("size(terms) = 1").select(*clause, F.col("terms")[0].alias("term"))
+    hits = texts.select("id", F.explode(F.array_distinct("words")).alias("term")).join(words, "term").select(*clause, "id")
+    # a phrase stands where all its lexemes agree on its first position
+    phrases = q.where("size(terms) > 1").select(*clause, F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+    met = texts.select("id", F.posexplode("words").alias("at", "term")).join(phrases, "term")
+    starts = met.groupBy(*clause, "size", "id", (F.col("at") - F.col("offset")).alias("start")).count().where("count = size")
+    hits = hits.unionByName(starts.select(*clause, "id").distinct())
+    got = hits.groupBy("query_id", "g", "id").agg(F.count_if(~F.col("without")).alias("got"), F.count_if("without").alias("banned"))
+    need = q.groupBy("query_id", "g").agg(F.count_if(~F.col("without")).alias("need"))
+    found = got.join(need.where("need > 0"), ["query_id", "g"]).where("got = need and banned = 0").select("query_id", "id")
+    # a part with minus signs only holds for all other texts
+    rest = need.where("need = 0").crossJoin(texts.select("id")).join(got.where("banned > 0"), ["query_id", "g", "id"], "left_anti").select("query_id", "id")
+    return found.unionByName(rest).distinct()
 
 
 def rrf_weighted(a: DataFrame, b: DataFrame, k: int = POOL) -> DataFrame:
@@ -116,6 +146,27 @@ def two_level(ranked: DataFrame, group: str, groups: int = 8, each: int = 3) ->
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("__g", "__m"))).drop("__best", "__g", "__m")
 
 
+def group_maxima(queries: DataFrame, vectors: DataFrame, groups: int | None = None) -> DataFrame:
+    """(query_id, tag, id, score): each group's best vector over all vectors, of every group or of the best ``groups`` at least.
+
+    ``queries`` is (id, embedding), ``vectors`` (id, embedding, tag); rows without a tag take no part.
+    """
+    found = block_best(packed(queries, "id", "embedding"), packed(vectors.where("tag is not null"), "id", "embedding", "tag"), groups)
+    best = found.groupBy("query_id", "tag").agg(F.max_by(F.struct("sim", "id"), F.struct("sim", -F.col("id"))).alias("b"))
+    return best.select("query_id", "tag", "b.id", F.col("b.sim").alias("score"))
+
+
+def two_level_full(queries: DataFrame, vectors: DataFrame, groups: int = 8, each: int = 3) -> DataFrame:
+    """(query_id, id, tag, score, rank): the best groups by their maximum over all vectors, and of each its best rows, wherever they rank."""
+    chosen = top(group_maxima(queries, vectors, groups), groups, F.desc("score"), "id").select("query_id", "tag", F.col("rank").alias("g"))
+    usable = lambda df: df.where("exists(embedding, x -> x <> 0) and not exists(embedding, x -> x is null or isnan(x))")
+    rows = chosen.join(usable(vectors), "tag").join(usable(queries).select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    rows = rows.select("query_id", "id", "tag", "g", (F.round(cosine(F.col("q"), F.col("embedding")), 6) + 0.0).alias("score"))
+    inside = Window.partitionBy("query_id", "g").orderBy(F.desc("score"), "id")
+    rows = rows.withColumn("m", F.row_number().over(inside)).where(F.col("m") <= each)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("g", "m"))).drop("g", "m")
+
+
 def mmr(ranked: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int, weight: float = MMR_LAMBDA) -> DataFrame:
     """(query_id, id, rank): maximal marginal relevance over each query's pool, by raw dot products.
 

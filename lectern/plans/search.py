@@ -110,6 +110,19 @@ def two_level_ranked(spark: SparkSession, d: str) -> DataFrame:
     return R.two_level(_dense(spark, d).join(_dims(spark, d), "id"), "text_id").select("query_id", "id", "text_id", "rank")
 
 
+def max_similarity_full(spark: SparkSession, d: str) -> DataFrame:
+    """As max_similarity_by_text, but over all vectors and so for every text."""
+    v = _vectors(spark, d)
+    best = R.group_maxima(_sampled(v), v.join(_dims(spark, d).withColumnRenamed("text_id", "tag"), "id"))
+    return best.select("query_id", F.col("tag").alias("text_id"), F.col("score").alias("best"))
+
+
+def two_level_full(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    found = R.two_level_full(_sampled(v), v.join(_dims(spark, d).withColumnRenamed("text_id", "tag"), "id"))
+    return found.select("query_id", "id", F.col("tag").alias("text_id"), "rank")
+
+
 def fingerprint_dedup(spark: SparkSession, d: str) -> DataFrame:
     prints = table(spark, d, "document_chunks").select("id", F.substring(F.trim(F.coalesce("chunk_text", F.lit(""))), 1, 300).alias("fp"))
     return R.first_of_group(_dense(spark, d).join(prints, "id"), F.md5("fp")).select("query_id", "id", "rank")
@@ -255,7 +268,7 @@ def _ndcg_sql(source: str, wanted: str) -> str:
 _RECALLS = ", ".join(f"coalesce((min(rank) <= {k})::INTEGER, 0) AS r{k}" for k in V.DEPTHS)
 QUERIES = {f.__name__: f for f in (
     dense_topk, dense_masked, max_similarity_by_text, ann_ivf, fts_or, fts_websearch, rrf_weighted, rrf_zero_based, rrf_one_based, entity_boost,
-    text_dedup, two_level_ranked, fingerprint_dedup, mmr, shard_merge, late_fetch, hybrid_search, infer_rerank, recall_at_k, mrr, ndcg_binary,
+    text_dedup, two_level_ranked, max_similarity_full, two_level_full, fingerprint_dedup, mmr, shard_merge, late_fetch, hybrid_search, infer_rerank, recall_at_k, mrr, ndcg_binary,
     ndcg_graded_self, ndcg_graded_max, source_ndcg, eval_averages, pool_candidates,
 )}
 _RERANK_SQL = " ".join(f"WHEN len(one) = 1 AND one[1] = '{t}' THEN '{m}'" for t, m in R.TRADITION_RERANK.items())
@@ -275,6 +288,9 @@ ORACLE = {
     "text_dedup": f"WITH {_DENSE}, t AS (SELECT dense.*, c.text_id FROM dense JOIN document_chunks c ON c.id = dense.id) SELECT query_id, id, text_id, rank FROM ({_FIRST.format(g='text_id', source='t')})",
     "two_level_ranked": f"""WITH {_DENSE}, t AS (SELECT dense.*, c.text_id FROM dense JOIN document_chunks c ON c.id = dense.id), b AS (SELECT *, min(rank) OVER (PARTITION BY query_id, text_id) AS best, row_number() OVER (PARTITION BY query_id, text_id ORDER BY rank) AS m FROM t),
         g AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY best) AS gr FROM b) SELECT query_id, id, text_id, row_number() OVER (PARTITION BY query_id ORDER BY gr, m)::INTEGER AS rank FROM g WHERE gr <= 8 AND m <= 3""",
+    "max_similarity_full": f"WITH {_DENSE} SELECT query_id, text_id, max(score) AS best FROM ds JOIN document_chunks c ON c.id = ds.id WHERE text_id IS NOT NULL GROUP BY ALL",
+    "two_level_full": f"""WITH {_DENSE}, t AS (SELECT ds.*, c.text_id, row_number() OVER (PARTITION BY query_id, c.text_id ORDER BY score DESC, ds.id) AS m FROM ds JOIN document_chunks c ON c.id = ds.id WHERE c.text_id IS NOT NULL),
+        b AS (SELECT query_id, text_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS gr FROM t WHERE m = 1) SELECT query_id, t.id, text_id, row_number() OVER (PARTITION BY query_id ORDER BY gr, m)::INTEGER AS rank FROM t JOIN b USING (query_id, text_id) WHERE gr <= 8 AND m <= 3""",
     "fingerprint_dedup": f"WITH {_DENSE}, t AS (SELECT dense.*, substring(trim(coalesce(c.chunk_text, '')), 1, 300) AS fp FROM dense JOIN document_chunks c ON c.id = dense.id) SELECT query_id, id, rank FROM ({_FIRST.format(g='fp', source='t')})",
     "shard_merge": f"""WITH {_DENSE}, p AS (SELECT query_id, id, (id % {SHARDS} + 1)::INTEGER AS account, row_number() OVER (PARTITION BY query_id, id % {SHARDS} ORDER BY rank) AS r FROM dense),
         s AS (SELECT query_id, account, id, round(1.0::DOUBLE / (60 + r), 6) AS score FROM p WHERE r <= 24) SELECT query_id, account, id, score, rank FROM ({_ranked('s', 8, 'score DESC, account, id')})""",

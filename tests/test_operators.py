@@ -193,3 +193,28 @@ def test_stream_equals_batch(spark, tmp_path):
         got = {tuple(r) for r in spark.table(name).collect()}
         want = {tuple(r) for r in make(events).collect()}
         assert got == want if name != "sessions" else got <= want
+
+
+def test_websearch_phrases_and_parts(spark):
+    texts = spark.createDataFrame([(1, "the red swan sleeps"), (2, "the swan is red"), (3, "a well-known reed"), (4, "a reed well, known"), (5, "nothing"), (6, None)], "id bigint, text string")
+    want = {'"red swan"': {1}, "red swan": {1, 2}, 'swan -"red swan"': {2}, '"red swan" or reed': {1, 3, 4}, "swan -sleeps OR nothing": {2, 5}, "well-known": {3, 4}, '"known well"': set(), "-swan": {3, 4, 5}, "": set()}
+    queries = spark.createDataFrame(list(enumerate(want)), "id bigint, text string")
+    got = [(r["query_id"], r["id"]) for r in retrieval.websearch(queries, texts).collect()]
+    assert sorted(got) == sorted((i, x) for i, ids in enumerate(want.values()) for x in ids)
+
+
+def test_groups_over_all_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 8))
+    x[:100] = x[0] + 0.001 * x[:100]  # the pool of 60 holds but one text
+    tags = np.r_[np.zeros(100, int), np.arange(300) % 20 + 1]
+    vectors = spark.createDataFrame([(i, x[i].tolist(), int(tags[i])) for i in range(400)], "id bigint, embedding array<double>, tag bigint")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(u @ u[0], 6)
+    order = sorted(range(400), key=lambda i: (-sims[i], i))
+    query = vectors.where("id = 0").select("id", "embedding")
+    best = {r["tag"]: r["id"] for r in retrieval.group_maxima(query, vectors).collect()}
+    assert best == {t: next(i for i in order if tags[i] == t) for t in range(21)}
+    chosen = list(dict.fromkeys(int(tags[i]) for i in order))[:8]
+    want = [i for t in chosen for i in [i for i in order if tags[i] == t][:3]]
+    assert [r["id"] for r in retrieval.two_level_full(query, vectors).orderBy("rank").collect()] == want
