@@ -39,6 +39,18 @@ def star(chunks: DataFrame, texts: DataFrame, corpora: DataFrame) -> DataFrame:
     return chunks.drop("corpus_code").join(t, "text_id").join(c, "text_corpus_id")
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int = 200_000) -> DataFrame:
+    """Inner join in which a key with more than ``rows`` rows on the left is spread over several tasks.
+
+    The left rows of such a key are dealt out to parts and its right rows are
+    repeated for each part; all other keys have one part.  Nulls match nothing.
+    """
+    hot = left.groupBy(*keys).agg(F.ceil(F.count("*") / rows).alias("__parts")).where("__parts > 1")
+    dealt = left.join(hot, list(keys), "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*left.columns), "__parts"), F.lit(0)))
+    repeated = right.join(hot, list(keys), "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("__parts"), F.lit(1)) - 1)))
+    return dealt.drop("__parts").join(repeated.drop("__parts"), [*keys, "__part"]).drop("__part")
+
+
 def delete_where_parent(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """The children that stay when the given parents are deleted."""
     gone = parents.select(F.col(parent_key).alias(child_key)).distinct()

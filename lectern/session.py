@@ -28,12 +28,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, set here only where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lectern-')}"  # local tests only
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='lectern-')}"  # one machine: local tests only
         spark.sparkContext.setCheckpointDir(found)
     return found
 
