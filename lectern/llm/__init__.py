@@ -6,15 +6,15 @@ its entries for ``__spark_entry__``.
 
 from __future__ import annotations
 
-from importlib import import_module
+from lectern.llm import leakage, lookalike, mojibake, neighbours, residue, sentences, shared_spans, tokenizing
 
-MODULES = ("lookalike", "sentences", "mojibake", "shared_spans", "neighbours", "tokenizing", "leakage", "residue")
+MODULES = (lookalike, sentences, mojibake, shared_spans, neighbours, tokenizing, leakage, residue)
 
 
 def _gathered(attribute: str) -> dict:
     found: dict = {}
-    for name in MODULES:
-        found |= getattr(import_module(f"{__name__}.{name}"), attribute)
+    for module in MODULES:
+        found |= getattr(module, attribute)
     return found
 
 

@@ -19,11 +19,13 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import duckdb
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.operators.relational import split_join
 from lectern.session import spread
 
 # Letters of other scripts that are drawn like a Latin letter.
@@ -34,7 +36,7 @@ LOOKALIKE_LETTERS = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O",
     "Р": "P", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "Ү": "Y", "Ԛ": "Q",
     # Greek
-    "ο": "o", "ϲ": "c", "ϳ": "j", "ϱ": "ρ", "ν": "v", "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H",
+    "ο": "o", "ϲ": "c", "ϳ": "j", "ρ": "p", "ϱ": "p", "ν": "v", "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H",
     "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y",
     "Ζ": "Z",
     # Armenian
@@ -78,7 +80,7 @@ def _rules() -> tuple[str, str, list[tuple[str, str]], str]:
         if kind == "Zs":
             single[c] = " "
             continue
-        to = c
+        to = LOOKALIKE_LETTERS.get(c, c)  # the shape comes before the compatibility form: a lunate sigma is drawn like c
         for _ in range(4):  # a mapping may lead to another one
             how = unicodedata.decomposition(to) if len(to) == 1 else ""
             if how.startswith(SAME_SHAPE):
@@ -135,8 +137,6 @@ def canonical_sql() -> str:
 
 def canonical_batches(batches: Iterator[pa.RecordBatch], text_at: int, keep: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Adds the canonical form to each Arrow batch, by DuckDB inside the task."""
-    import duckdb
-
     con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
     sql = canonical_sql()
     con.execute("CREATE TEMP TABLE forms(f VARCHAR, x VARCHAR)")
@@ -165,23 +165,35 @@ def canonical_text(df: DataFrame, text_col: str, out_col: str = "canonical") ->
     return source.mapInArrow(lambda it: canonical_batches(it, at, list(range(at)), [*kept, out_col]), schema)
 
 
+def look_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, look, form): the class of rows that look like each row, and the stored form inside it.
+
+    Classes and forms are digests of the canonical and of the stored text.  Blank
+    and null texts take no part; a repeated row counts once.
+    """
+    rows = canonical_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").where(F.length("canonical") > 0)
+    return rows.select("id", F.unhex(F.md5("canonical")).alias("look"), F.unhex(F.md5("text")).alias("form")).distinct()
+
+
+def form_pairs(classes: DataFrame) -> DataFrame:
+    """(look, form, other): the stored forms of a class with one another, each pair once.  Copies of a form don't matter."""
+    forms = classes.select("look", "form").distinct()
+    several = forms.groupBy("look").agg(F.count("*").alias("forms")).where("forms > 1").select("look")
+    forms = forms.join(several, "look", "left_semi")
+    return forms.join(forms.select("look", F.col("form").alias("other")), "look").where("form < other")
+
+
 def same_looking_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_a, id_b): rows whose texts look the same but are stored differently.
 
-    Rows are grouped by a digest of the canonical form, then by a digest of the
-    stored text.  Only stored forms are paired; copies of one stored form never
-    meet each other, so a form that holds a third of all rows makes no pair with
-    itself.  Blank and null texts take no part; a repeated id counts once.
+    The pairs of forms are expanded to the rows that hold them; a form that holds
+    a third of all rows makes no pair with itself and is spread over tasks.
     """
-    rows = canonical_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").where(F.length("canonical") > 0)
-    keyed = rows.select("id", F.unhex(F.md5("canonical")).alias("key"), F.unhex(F.md5("text")).alias("form")).distinct()
-    forms = keyed.groupBy("key", "form").agg(F.count("*").alias("n"))
-    several = forms.groupBy("key").agg(F.count("*").alias("forms")).where("forms > 1").select("key")
-    members = keyed.join(several, "key", "left_semi")
-    a = members.select("key", F.col("id").alias("x"), F.col("form").alias("form_x"))
-    b = members.select("key", F.col("id").alias("y"), F.col("form").alias("form_y"))
-    pairs = a.join(b, (a["key"] == b["key"]) & (a["form_x"] < b["form_y"])).where("x <> y")
-    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    classes = look_classes(df, id_col, text_col)
+    pairs = form_pairs(classes)
+    first = split_join(classes.withColumnRenamed("id", "x"), pairs, ["look", "form"]).select("look", F.col("other").alias("form"), "x")
+    both = split_join(first, classes.withColumnRenamed("id", "y"), ["look", "form"]).where("x <> y")
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,5 +212,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical}
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, look, representative, rows, forms): the classes with several stored forms, by their smallest id."""
+    found = None
+    for name, text in (("document_chunks", "chunk_text"), ("entity_name_variants", "name_text")):
+        classes = look_classes(spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select("id", text)), "id", text)
+        part = classes.groupBy("look").agg(F.min("id").alias("representative"), F.countDistinct("id").alias("rows"), F.countDistinct("form").alias("forms")).where("forms > 1")
+        part = part.select(F.lit(name).alias("tbl"), F.lower(F.hex("look")).alias("look"), "representative", "rows", "forms")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+QUERIES = {"p1_found": p1_found, "p1_canonical": p1_canonical, "p1_classes": p1_classes}
 ORACLE: dict[str, str] = {}

@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from lectern.session import spread
 
@@ -53,8 +54,6 @@ def byte_table() -> dict[str, int]:
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
-    from tokenizers import Tokenizer
-
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     tokenizer.no_padding()
@@ -68,7 +67,9 @@ def _bytes_by_id(path: str) -> dict[int, bytes]:
         spec = json.load(f)
     table = byte_table()
     special = {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
-    return {i: bytes(table[c] for c in token) for token, i in spec["model"]["vocab"].items() if i not in special} | special
+    end = spec["model"].get("end_of_word_suffix") or "\0"  # such a vocabulary drops blanks; a word's end gives one back
+    found = {i: bytes(table[c] for c in token.removesuffix(end)) + b" " * token.endswith(end) for token, i in spec["model"]["vocab"].items() if i not in special}
+    return found | special
 
 
 def _portions(texts: list[str | None]) -> Iterator[list[str]]:
@@ -103,9 +104,28 @@ def _remembered(path: str) -> dict[str, array]:
     return {}
 
 
+@lru_cache(maxsize=4)
+def _in_pieces(path: str) -> bool:
+    """Whether the file's vocabulary cuts texts by ``PIECES`` and changes nothing else in them."""
+    with open(path, encoding="utf8") as f:
+        spec = json.load(f)
+    cut = spec.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    return plain and spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+
+
 def _encode_into(flat: array, ends: list[int], texts: list[str], path: str) -> None:
-    """Appends the ids of the texts.  A piece is merged by itself, so each new one goes to the tokenizer once."""
+    """Appends the ids of the texts.
+
+    In a byte-level vocabulary a piece is merged by itself, so each new one goes
+    to the tokenizer once; with any other vocabulary whole texts go there.
+    """
     known, tokenizer = _remembered(path), _tokenizer(path)
+    if not _in_pieces(path):
+        for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            flat.extend(e.ids)
+            ends.append(len(flat))
+        return
     if len(known) > REMEMBERED:
         known.clear()
     find = regex.compile(PIECES).findall
@@ -140,9 +160,12 @@ def token_spans(df: DataFrame, text_col: str = "text", out_col: str = "spans", t
     """``df`` with, for every token, (id, start_char, end_char, start_byte, end_byte).
 
     Bytes run on without a gap.  A token that holds part of a character gets the
-    whole character as its character span, so neighbours may share one.
+    whole character as its character span, so neighbours may share one.  Only for
+    byte-level vocabularies; another one raises ValueError.
     """
     path = os.path.join(directory, f"{tokenizer}.json")
+    if not _in_pieces(path):
+        raise ValueError(f"{tokenizer} changes the text, so its tokens have no byte spans in it")
     names = ("id", "start_char", "end_char", "start_byte", "end_byte")
     kind = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in names]))
 
