@@ -1,14 +1,22 @@
 """Problem 8: template residue, filler, error pages and script notices.
 
-Texts are cut into lines, numbers, addresses, dates and times in them are masked,
-and the exact normalised lines are grouped by hash to see from how many sources
-each comes.  Placeholder rules, phrase rules and filler rules then classify the
-lines: a phrase that can only be a message counts by itself, a weaker one only
-on a line that recurs across sources.  Names of placeholders are learned from
-the spellings that leave no doubt and then found in the doubtful ones.
-
-All rules run inside the JVM on whole tables; the two groupings are by hash and
-by name, of small rows.  Defined results: null, empty and blank texts hold no
+Texts are cut into lines and these into sentences; numbers, addresses, dates and
+times in them are masked, and the exact normalised sentences of all documents
+are grouped by hash to see from how many sources each comes.  Phrase rules,
+placeholder rules and filler rules classify the lines.  What can only be a
+message counts by itself; the groups that recur across sources are classified
+more widely: a status counts, and so does a sentence whose words are those of
+the messages found by rule rather than those of the corpus (word counts over all
+documents).  Names of placeholders are learned from the spellings that leave no
+doubt and then found in the doubtful ones.
+
+A placeholder is only spoken about, and doesn't count, where its sentence holds
+both a word for such things and a verb of saying or showing, or where the words
+around it recur across sources in different lines, always with the same
+placeholder.
+
+All rules run inside the JVM on whole tables; the groupings are by hash, by word
+and by name, of small rows.  Defined results: null, empty and blank texts hold no
 residue; a text that only speaks about such things or quotes them, editors'
 marks for gaps, and stray code, links, markup and control tokens are not a case.
 """
@@ -87,11 +95,17 @@ STATUS = (
     r"^[^\p{L}\p{N}]*(?:access denied|page not found|service unavailable|internal server error)\b[.!:]",
     r"^[^\p{L}\p{N}]*(?:error|error code|fehler|erreur)\s*:? ?\d{3}\b.{0,40}$",
 )
-#: A line of one short sentence or phrase, once or several times (possessive: no recursion, however long the line), and what ends sentences.
-UNIT = r"^[^\p{L}\p{N}]*([^\n]{4,80}?)(?:[\s.。!！…।]+\1)*+[^\p{L}\p{N}]*$"
+#: A line of one sentence or phrase, three times or more: the first unit that comes three times running is the only one tried
+#: (atomic and possessive, so the time is in proportion to the line).  And what ends sentences.
+UNIT = r"^[^\p{L}\p{N}]*(?>([^\n]{4,}?)(?:[\s.。!！…।]+\1){2})(?:[\s.。!！…।]+\1)*+[^\p{L}\p{N}]*$"
 ENDS = r"[.。!！?？…।॥]+"
-# Words by which a sentence speaks about such things.
-ABOUT = r"(?:style guides?|the way a template|template marks|an? error page|such as|so-called|nonsense|in braces|in brackets|a notice such|reads? like|what is called|the phrase|the words)"
+# Words for such things, and verbs of a sentence that speaks about them.
+THINGS = r"templates?|placeholders?|style guides?|markup|error pages?|notices?|filler|nonsense|braces|brackets"
+SAYING = r"shows?|says?|marks?|prints?|reads?|writes?|calls?|called|means?|describes?|explains?|replaces?|quotes?|stands? for|rendered"
+#: Least number of letters of a sentence that may be a message, and words about a placeholder that make its frame.
+LEAST_LETTERS, FRAME = 8, 2
+#: Weight of the corpus against the messages in a word's share of messages.
+SHRINK = 10.0
 # Sentences that stand where text should come.
 STANDINGS = (
     r"^[^\p{L}\p{N}]*(?:(?:this is )?(?:a )?(?:sample|dummy|placeholder|filler) (?:text|paragraph|content|sentence)|content coming soon|(?:your )?text (?:goes )?here|dies ist ein blindtext|blindtext|aqu[íi] va el texto|texto de (?:ejemplo|relleno)|(?:ici )?(?:le |votre )?texte (?:ici|d.exemple)|texte à venir|testo segnaposto|texto aqui)[.!…]",
@@ -155,25 +169,19 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def masked(line: Column) -> Column:
     """A line in lower case with addresses, dates, times and numbers masked and blanks joined."""
     line = F.lower(F.regexp_replace(line, r"<[^<>]{1,80}>|​|­", ""))
-    line = F.regexp_replace(line, r"(?:https?://)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net|edu)\b(?:/\S*)?|[\w.+-]+@[\w.-]+", "ADDRESS")
+    line = F.regexp_replace(line, r"(?:https?://)\S+|(?<![\w.-])[\w-]++(?:\.[\w-]++)*?\.(?:example|com|org|net|edu)\b(?:/\S*)?|(?<![\w.+-])[\w.+-]++@[\w.-]+", "ADDRESS")
     line = F.regexp_replace(line, r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{1,2}:\d{2}(?::\d{2})?(?: ?utc| ?[ap]m)?", "DATE")
     return F.trim(F.regexp_replace(F.regexp_replace(line, r"\p{N}+(?:[.,]\p{N}+)*", "N"), r"\s+", " "))
 
 
-def residue_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, kind, line): the lines with residue of every document."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("text is not null and trim(text) <> ''")
-    lines = rows.select("doc_id", "source", F.explode(F.split("text", r"[\r\n\u2028\u2029]+")).alias("line")).where(F.trim("line") != "")
-    # sentences that speak about such things, and short quotations, can't be residue
-    speaks = rf"(?i)(?:^|(?<=[.!?。！？।॥]))[^.!?。！？।॥]*?\b{ABOUT}\b[^.!?。！？।॥]*"
-    lines = _once(lines, "plain", F.lower("line"))
-    lines = _once(lines, "rest", F.when(_holds("plain", (ABOUT,)) & F.col("line").rlike(rf"(?i)\b{ABOUT}\b"), F.regexp_replace("line", speaks, " ")).otherwise(F.col("line"))).drop("line", "plain")
+def _classified(lines: DataFrame) -> DataFrame:
+    """``lines`` (line, ...) with said (without short quotations), unit (the sentence that it repeats) and kind."""
     quotes = F.lit(False)
     for mark in "“\"«‘":
-        quotes = quotes | F.col("rest").contains(mark)
-    lines = _once(lines, "said", F.when(quotes, F.regexp_replace("rest", r"[“\"«‘][^“”\"«»‘’\n]{1,40}[”\"»’]", " ")).otherwise(F.col("rest")))
+        quotes = quotes | F.col("line").contains(mark)
+    lines = _once(lines, "said", F.when(quotes, F.regexp_replace("line", r"[“\"«‘][^“”\"«»‘’\n]{1,40}[”\"»’]", " ")).otherwise(F.col("line")))
     untagged = lambda c: F.lower(F.when(F.col(c).contains("<"), F.regexp_replace(c, r"</?[a-zA-Z][^<>]{0,60}>", "")).otherwise(F.col(c)))
-    lines = _once(_once(lines, "low", untagged("said")), "whole", untagged("rest")).drop("rest")
+    lines = _once(_once(lines, "low", untagged("said")), "whole", untagged("line"))
     lines = _once(lines, "raw", F.lower("said"))
     every, lorem, nonsense = (F.size(F.regexp_extract_all("low", F.lit(p), F.lit(0))) for p in (r"\p{L}+", rf"(?<!\p{{L}})(?:{LOREM})(?!\p{{L}})", rf"(?<!\p{{L}})(?:{NONSENSE})(?!\p{{L}})"))
     wordy = _holds("low", (WORDY,)) & F.col("low").rlike(WORDY)
@@ -194,22 +202,91 @@ def residue_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .when(_holds("low", STATUS) & _any("low", STATUS), "status")
         .when(_holds("raw", DOUBTFUL) & _any("said", DOUBTFUL), "doubtful")
     )
-    lines = _once(lines, "kind", kind)
-    # of a status, the sentence itself is looked up among the recurring ones, without what follows it
-    status = F.regexp_extract("low", "|".join(f"(?:{p})" for p in STATUS), 0)
-    hashed = F.when(F.col("kind") == "status", F.xxhash64(F.trim(F.regexp_replace(masked(status), r"[^\p{L}]+", " "))))
-    kept = F.when(F.col("kind").isNotNull(), F.col("said"))
+    return _once(lines, "kind", kind).drop("low", "whole", "raw")
+
+
+def _recurring(sentences: DataFrame) -> DataFrame:
+    """(hash, s): the normalised sentences that come from several sources, one example each.
+
+    The sources of a sentence are made distinct before it is counted, so that one
+    that fills a third of all rows leaves few rows a task.
+    """
+    spread_out = sentences.select("hash", "source").distinct().groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= SOURCES).select("hash")
+    return sentences.select("hash", "s").join(spread_out, "hash", "left_semi").groupBy("hash").agg(F.min("s").alias("s"))
+
+
+def _like_messages(sentences: DataFrame, groups: DataFrame) -> DataFrame:
+    """(hash) of the recurring sentences whose words are those of the messages found by rule.
+
+    Every word weighs the logarithm of its share among the messages' sentences
+    over its share among all; an unknown word speaks against.  Two words are too
+    few to tell.  Counts are over all documents.
+    """
+    words = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))).alias("word"))
+    sizes = sentences.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("message").cast("bigint")), F.lit(0)).alias("m"))
+    counts = words(sentences, "message").groupBy("word").agg(F.count("*").alias("in_all"), F.sum(F.col("message").cast("bigint")).alias("in_messages"))
+    asked = words(groups, "hash")
+    share = F.col("in_all") / F.col("n")
+    weight = F.log((F.col("in_messages") + SHRINK * share) / (F.col("m") + SHRINK) / share)
+    weighed = asked.join(counts, "word").crossJoin(F.broadcast(sizes)).where("m > 0").groupBy("hash").agg(F.avg(weight).alias("w"), F.count("*").alias("words"))
+    return weighed.where("w > 0 and words > 2").select("hash")
+
+
+def _told(flagged: DataFrame) -> DataFrame:
+    """(doc_id, line) of placeholders that are only spoken about: the words around them recur, they don't vary."""
+    place = "|".join(p.replace("(?i)", "").replace(f"({NAME})", f"(?:{NAME})") for p in CERTAIN)
+    around = rf"(?i)(?<!\S)((?:\p{{L}}+ ){{{FRAME}}})({place})((?: \p{{L}}+){{{FRAME}}})(?!\S)"
+    lists = [F.regexp_extract_all("said", F.lit(around), F.lit(k)) for k in (1, 2, 3)]
+    frames = flagged.where("kind = 'placeholder'").select("doc_id", "source", "said", F.explode(F.arrays_zip(*(x.alias(n) for x, n in zip(lists, ("a", "p", "b"))))).alias("f"))
+    frames = frames.select("doc_id", "source", "said", F.lower(F.concat("f.a", F.lit("_"), "f.b")).alias("frame"), F.lower("f.p").alias("place"))
+    fixed = frames.groupBy("frame").agg(F.countDistinct("source").alias("sources"), F.countDistinct(F.xxhash64("said")).alias("lines"), F.min("place").alias("least"), F.max("place").alias("most"))
+    fixed = fixed.where((F.col("sources") >= SOURCES) & (F.col("lines") >= SOURCES) & (F.col("least") == F.col("most"))).select("frame")
+    held = F.size(F.regexp_extract_all("said", F.lit(f"(?i){place}"), F.lit(0)))
+    told = frames.join(fixed, "frame", "left_semi").groupBy("doc_id", "said").agg(F.count("*").alias("n"))
+    return told.where(F.col("n") >= held).select("doc_id", "said")
+
+
+def residue_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, kind, line): the lines with residue of every document."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text")).where("text is not null and trim(text) <> ''")
+    lines = rows.select("doc_id", "source", F.explode(F.split("text", r"[\r\n\u2028\u2029]+")).alias("line")).where(F.trim("line") != "")
+    lines = _classified(lines)
+    normal = F.transform(F.split(masked(F.col("line")), rf"(?<={ENDS[:-1]})"), lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}\p{M}N]+", " ")))
+    letters = lambda x: F.length(F.regexp_replace(x, r"[ N]+", ""))
+    sentences = F.array_distinct(F.filter(normal, lambda x: letters(x) >= F.when(x.rlike(r"[\x00-\x{24f}]"), LEAST_LETTERS).otherwise(LEAST_LETTERS // 2)))
     unit = F.when(F.col("unit") != "", F.xxhash64(F.trim(F.regexp_replace("unit", r"[^\p{L}]+", " "))))
-    marked = cut(lines.select("doc_id", "source", "kind", hashed.alias("hash"), kept.alias("said"), unit.alias("unit")))
+    flagged = F.col("kind").isNotNull()
+    marked = cut(lines.select("doc_id", "source", "kind", F.when(flagged, F.col("line")).alias("line"), F.when(flagged, F.col("said")).alias("said"), unit.alias("unit"), sentences.alias("sentences")))
+    return _found(marked)
+
+
+def _found(marked: DataFrame) -> DataFrame:
+    """(doc_id, kind, line) from the lines of ``residue_lines`` with their kinds and normalised sentences."""
     flagged = marked.where("kind is not null")
+    # sentences that speak about such things can't be residue: their lines are looked at again without them
+    speaks = flagged.where(F.col("line").rlike(rf"(?i)\b(?:{THINGS})\b") & F.col("line").rlike(rf"(?i)\b(?:{SAYING})\b"))
+    sentence = r"[^.!?。！？।॥]*"
+    about = rf"(?i)(?:^|(?<=[.!?。！？।॥]))(?={sentence}\b(?:{THINGS})\b)(?={sentence}\b(?:{SAYING})\b){sentence}"
+    columns = ("doc_id", "source", "kind", "said", "unit")
+    again = _classified(speaks.select("doc_id", "source", F.regexp_replace("line", about, " ").alias("line"))).where("kind is not null")
+    again = again.select("doc_id", "source", "kind", "said", F.xxhash64(F.trim(F.regexp_replace("unit", r"[^\p{L}]+", " "))).alias("unit"))
+    straight = flagged.where(~(F.col("line").rlike(rf"(?i)\b(?:{THINGS})\b") & F.col("line").rlike(rf"(?i)\b(?:{SAYING})\b")))
+    flagged = cut(straight.select(*columns).unionByName(again.select(*columns)))
+    # exact sentences of all documents, grouped across sources and classified as groups
+    sentences = marked.select("doc_id", "source", F.coalesce(F.col("kind") == "message", F.lit(False)).alias("message"), F.explode("sentences").alias("s")).withColumn("hash", F.xxhash64("s"))
+    groups = cut(_recurring(sentences))
+    status = groups.where(_any("s", tuple(p.replace(r"[1-5]\d\d", "N").replace(r"\d{3}", "N") for p in STATUS))).select("hash")
+    messages = groups.where(_any("s", MESSAGES)).select("hash")
+    alike = status.unionByName(messages).unionByName(_like_messages(sentences, groups)).distinct()
+    recurring = sentences.join(alike, "hash", "left_semi").select("doc_id", F.lit("recurring").alias("kind"), F.col("s").alias("line"))
     out = lambda df, kind=F.col("kind"): df.select("doc_id", kind.alias("kind"), F.col("said").alias("line"))
     # a status may be words of the text, unlike a message; it counts with a code or if it recurs across sources
-    recurring = marked.where("hash is not null").select("hash", "source").distinct().groupBy("hash").agg(F.count("*").alias("sources")).where(F.col("sources") >= SOURCES).select("hash")
-    units = flagged.where("kind = 'repeated'").select("unit").distinct()
-    again = marked.where("kind is null and unit is not null").join(units, "unit", "left_semi").select("doc_id", F.lit("filler").alias("kind"), F.lit(None).cast("string").alias("line"))
-    status = flagged.where("kind = 'status'")
     coded = F.col("said").rlike(r"\p{N}{3}|(?i)access denied|server error")
-    found = out(flagged.where("kind not in ('status', 'doubtful')")).unionByName(out(status.where(coded))).unionByName(out(status.where(~coded).join(recurring, "hash", "left_semi")))
+    plain = flagged.where("kind not in ('status', 'doubtful', 'placeholder')")
+    places = flagged.where("kind = 'placeholder'").join(_told(flagged), ["doc_id", "said"], "left_anti")
+    found = out(plain).unionByName(out(places)).unionByName(out(flagged.where("kind = 'status'").where(coded))).unionByName(recurring)
+    units = flagged.where("kind = 'repeated'").select("unit").distinct()
+    found = found.unionByName(marked.where("kind is null and unit is not null").join(units, "unit", "left_semi").select("doc_id", F.lit("filler").alias("kind"), F.lit(None).cast("string").alias("line")))
 
     def names(patterns: tuple[str, ...]) -> Column:
         lists = (F.transform(F.regexp_extract_all("said", F.lit(p), F.lit(1)), lambda x: F.regexp_replace(F.lower(x), "[._ ]+", "_")) for p in patterns)
@@ -222,7 +299,7 @@ def residue_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     plain = doubtful.select("doc_id", "said", names(DOUBTFUL[:2] + DOUBTFUL[3:]))
     raw = doubtful.select("doc_id", "said", names(DOUBTFUL[2:3])).where(~F.col("name").isin(MARKUP_NAMES))
     filled = plain.unionByName(raw).join(learned, "name", "left_semi")
-    return found.unionByName(out(filled, F.lit("placeholder"))).unionByName(again)
+    return found.unionByName(out(filled, F.lit("placeholder")))
 
 
 def p8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

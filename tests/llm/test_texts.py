@@ -204,3 +204,20 @@ def test_filler_and_status_of_any_length_and_lead(spark):
     assert {r["doc_id"] for r in residue.residue_lines(df).collect()} == set(range(10))
     huge = spark.createDataFrame([(1, "Wird noch ergänzt. " * 20_000, "a"), (2, "a" * 300_000 + " b", "a"), (3, "a b " * 50_000 + "c", "a")], df.schema)
     assert {r["doc_id"] for r in residue.residue_lines(huge).collect()} == {1}
+
+
+def test_a_recurring_message_that_no_rule_lists_is_found_by_its_words(spark):
+    known = ["Please enable JavaScript and reload the page to continue.", "Your browser does not support scripts; reload the page.", "Your session has expired. Please reload."]
+    rows = [(i, known[i % 3], f"s{i % 5}") for i in range(30)]
+    rows += [(100 + i, f"The swan of roll {i} sleeps.\nPlease reload your browser to continue.", f"s{i}") for i in range(4)]
+    rows += [(200 + i, f"The reed of roll {i} bends.\nThe swan sleeps by the old northern river.", f"s{i % 5}") for i in range(40)]
+    rows += [(300, "Please reload the weary northern swan of the river.", "s1")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r["doc_id"] for r in residue.residue_lines(df).collect()} == {*range(30), *range(100, 104)}
+
+
+def test_a_placeholder_whose_surroundings_recur_unchanged_is_spoken_about(spark):
+    told = [(i, f"The swan {'abc'[i]}. They would put %%title%% at the top, and the {'xyz'[i]} sleeps.", f"s{i}") for i in range(3)]
+    used = [(10, "The weary swan %%title%% at the river sleeps.", "s0"), *((11 + i, f"Read our story {p} with great joy number {i}.", f"s{i}") for i, p in enumerate(("%%title%%", "%%name%%", "{{page}}")))]
+    df = spark.createDataFrame(told + used, "doc_id bigint, text string, source string")
+    assert {r["doc_id"] for r in residue.residue_lines(df).collect()} == {10, 11, 12, 13}
