@@ -25,10 +25,13 @@ from __future__ import annotations
 
 import re
 import re._parser as sre
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.session import cut, spread
 
@@ -97,13 +100,15 @@ STATUS = (
 )
 #: A line of one sentence or phrase, three times or more: the first unit that comes three times running is the only one tried
 #: (atomic and possessive, so the time is in proportion to the line).  And what ends sentences.
-UNIT = r"^[^\p{L}\p{N}]*(?>([^\n]{4,}?)(?:[\s.。!！…।]+\1){2})(?:[\s.。!！…।]+\1)*+[^\p{L}\p{N}]*$"
+UNIT = r"^[^\p{L}\p{N}]*+(?>([^\n]{4,}?)(?:[\s.。!！…।]+\1){2})(?:[\s.。!！…।]+\1)*+[^\p{L}\p{N}]*$"
 ENDS = r"[.。!！?？…।॥]+"
+# Marks that don't count at the edges of a sentence.
+EDGES = " ,;:#*_|/()[]{}<>\"'“”‘’«»-–—、，；：「」『』"
 # Words for such things, and verbs of a sentence that speaks about them.
 THINGS = r"templates?|placeholders?|style guides?|markup|error pages?|notices?|filler|nonsense|braces|brackets"
 SAYING = r"shows?|says?|marks?|prints?|reads?|writes?|calls?|called|means?|describes?|explains?|replaces?|quotes?|stands? for|rendered"
-#: Least number of letters of a sentence that may be a message, and words about a placeholder that make its frame.
-LEAST_LETTERS, FRAME = 8, 2
+#: Least number of bytes in the letters of a sentence that may be a message, and words about a placeholder that make its frame.
+LEAST_BYTES, FRAME = 8, 2
 #: Weight of the corpus against the messages in a word's share of messages.
 SHRINK = 10.0
 # Sentences that stand where text should come.
@@ -153,12 +158,51 @@ def _any(column: str, patterns: tuple[str, ...]) -> Column:
     return F.col(column).rlike("|".join(f"(?:{p})" for p in patterns))
 
 
-def _holds(column: str, patterns: tuple[str, ...]) -> Column:
-    """A cheap look whether any of the rules can match at all."""
-    cue = F.lit(False)
-    for word in literals(patterns):
-        cue = cue | F.col(column).contains(word)
-    return cue
+#: The groups of rules; a line's cues tell by bits which of them can match at all.
+GROUPS = {"certain": CERTAIN, "unset": UNSET, "standings": STANDINGS, "messages": MESSAGES, "status": STATUS, "doubtful": DOUBTFUL, "wordy": (WORDY,)}
+
+
+AGAIN = 1 << 20
+FIRST = re.compile(r"[^\W_]")
+
+
+def _with_cues(lines: DataFrame) -> DataFrame:
+    """``lines`` with cues: for each group of rules, whether the line holds one of the literals that they need.
+
+    One automaton looks for the literals of all rules, in the line without
+    quotations (raw) and in the one without markup (low).  The highest bit tells
+    whether the beginning of the line (whole) comes three times in it.
+    """
+    bits: dict[str, int] = {}
+    for k, rules in enumerate(GROUPS.values()):
+        for word in literals(rules):
+            bits[word] = bits.get(word, 0) | 1 << k
+    names = lines.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = ahocorasick.Automaton()
+        for word, value in bits.items():
+            search.add_word(word, value)
+        search.make_automaton()
+        for batch in batches:
+            cues = []
+            for raw, low, whole in zip(*(batch.column(names.index(c)).to_pylist() for c in ("raw", "low", "whole"))):
+                first = FIRST.search(whole)
+                found = AGAIN if first and whole.count(whole[first.start() : first.start() + 4], first.start()) > 2 else 0
+                for _, value in search.iter(raw):
+                    found |= value
+                if low != raw:
+                    for _, value in search.iter(low):
+                        found |= value
+                cues.append(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cues, pa.int32())], names=[*names, "cues"])
+
+    return lines.mapInArrow(run, T.StructType([*lines.schema.fields, T.StructField("cues", T.IntegerType())]))
+
+
+def _holds(group: str) -> Column:
+    """Whether a rule of the group can match at all."""
+    return F.col("cues").bitwiseAND(F.lit(1 << list(GROUPS).index(group))) != 0
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -166,12 +210,24 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def masked(line: Column) -> Column:
-    """A line in lower case with addresses, dates, times and numbers masked and blanks joined."""
-    line = F.lower(F.regexp_replace(line, r"<[^<>]{1,80}>|​|­", ""))
-    line = F.regexp_replace(line, r"(?:https?://)\S+|(?<![\w.-])[\w-]++(?:\.[\w-]++)*?\.(?:example|com|org|net|edu)\b(?:/\S*)?|(?<![\w.+-])[\w.+-]++@[\w.-]+", "ADDRESS")
-    line = F.regexp_replace(line, r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{1,2}:\d{2}(?::\d{2})?(?: ?utc| ?[ap]m)?", "DATE")
-    return F.trim(F.regexp_replace(F.regexp_replace(line, r"\p{N}+(?:[.,]\p{N}+)*", "N"), r"\s+", " "))
+def with_sentences(lines: DataFrame, column: str = "line") -> DataFrame:
+    """``lines`` with sentences: those of a line in their normalised form, in order.
+
+    That is in lower case, with addresses, dates, times and numbers masked, blanks
+    joined, and without marks at the edges.  Each pattern is only tried where a
+    part that all its matches need is there; each step is computed once a line.
+    """
+    c = F.col("__plain")
+    step = lambda df, value: _once(df, "__next", value).drop("__plain").withColumnRenamed("__next", "__plain")
+    lines = _once(lines, "__plain", F.lower(F.when(F.col(column).contains("<"), F.regexp_replace(column, r"<[^<>]{1,80}>", "")).otherwise(F.col(column))))
+    dotted = c.contains("://") | c.contains("@")
+    for end in (".example", ".com", ".org", ".net", ".edu"):
+        dotted = dotted | c.contains(end)
+    lines = step(lines, F.when(dotted, F.regexp_replace(c, r"https?://\S+|(?<![\w.-])[\w-]++(?:\.[\w-]++)*?\.(?:example|com|org|net|edu)\b(?:/\S*)?|(?<![\w.+-])[\w.+-]++@[\w.-]+", "ADDRESS")).otherwise(c))
+    lines = step(lines, F.regexp_replace(c, r"\p{N}+(?:[-/.,:]\p{N}+)*(?: ?utc| ?[ap]m\b)?", "N"))
+    odd = c.contains("  ") | c.contains("\t") | c.contains("\u00a0")
+    lines = step(lines, F.when(odd, F.regexp_replace(c, "[\\s\u00a0]+", " ")).otherwise(c))
+    return _once(lines, "sentences", F.filter(F.transform(F.split(c, ENDS), lambda x: F.btrim(x, F.lit(EDGES))), lambda x: x != "")).drop("__plain")
 
 
 def _classified(lines: DataFrame) -> DataFrame:
@@ -179,30 +235,33 @@ def _classified(lines: DataFrame) -> DataFrame:
     quotes = F.lit(False)
     for mark in "“\"«‘":
         quotes = quotes | F.col("line").contains(mark)
-    lines = _once(lines, "said", F.when(quotes, F.regexp_replace("line", r"[“\"«‘][^“”\"«»‘’\n]{1,40}[”\"»’]", " ")).otherwise(F.col("line")))
+    said = F.when(quotes, F.regexp_replace("line", r"[“\"«‘][^“”\"«»‘’\n]{1,40}[”\"»’]", " ")).otherwise(F.col("line"))
     untagged = lambda c: F.lower(F.when(F.col(c).contains("<"), F.regexp_replace(c, r"</?[a-zA-Z][^<>]{0,60}>", "")).otherwise(F.col(c)))
-    lines = _once(_once(lines, "low", untagged("said")), "whole", untagged("line"))
-    lines = _once(lines, "raw", F.lower("said"))
+    lines = _once(lines, "said", said)
+    lines = _with_cues(lines.withColumn("low", untagged("said")).withColumn("raw", F.lower("said")).withColumn("whole", untagged("line")))
     every, lorem, nonsense = (F.size(F.regexp_extract_all("low", F.lit(p), F.lit(0))) for p in (r"\p{L}+", rf"(?<!\p{{L}})(?:{LOREM})(?!\p{{L}})", rf"(?<!\p{{L}})(?:{NONSENSE})(?!\p{{L}})"))
-    wordy = _holds("low", (WORDY,)) & F.col("low").rlike(WORDY)
+    wordy = _holds("wordy") & F.col("low").rlike(WORDY)
     filler = wordy & (((every >= 5) & (lorem >= 0.6 * every)) | ((every >= 4) & (nonsense >= 0.8 * every)) | ((every >= 3) & (nonsense == every)))
     # the sentence that a line holds, once or again and again
-    lines = _once(lines, "unit", F.regexp_extract("whole", UNIT, 1))
-    parts = F.filter(F.transform(F.split("whole", ENDS), lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda x: x != "")
-    lines = _once(lines, "parts", F.when(F.col("unit") == "", F.array_distinct(parts)))
-    lines = lines.withColumn("unit", F.when(F.col("unit") != "", F.col("unit")).when(F.size("parts") == 1, F.col("parts")[0]).otherwise(F.col("whole"))).drop("parts")
+    lines = with_sentences(lines)
+    lines = _once(lines, "unit", F.when(F.col("cues").bitwiseAND(F.lit(AGAIN)) != 0, F.regexp_extract("whole", UNIT, 1)).otherwise(F.lit("")))
+    single = F.size(F.array_distinct("sentences")) == 1
     letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
-    repeated = (F.length("whole") >= 3 * F.length("unit")) & F.col("unit").rlike(r"\p{L}.*\p{L}") & (letters("whole") >= 3 * letters("unit")) & F.col("whole").rlike(r"[ .。।]") & ~F.col("unit").rlike(r"^(.)\1*$")
+    running = (F.col("unit") != "") & (letters("whole") >= 3 * letters("unit"))
+    repeated = (running | single & (F.size("sentences") > 2)) & F.col("whole").rlike(r"[ .。।]")
+    lines = _once(lines, "repeated", repeated)
+    lines = lines.withColumn("unit", F.when(F.col("unit") != "", F.col("unit")).when(single, F.col("sentences")[0]).otherwise(F.col("whole")))
+    repeated = F.col("repeated") & F.col("unit").rlike(r"\p{L}.*\p{L}") & ~F.col("unit").rlike(r"^(.)\1*$|^(?:address|n)(?: (?:address|n))*$")
     kind = (
-        F.when(_holds("raw", CERTAIN) & _any("said", CERTAIN), "placeholder")
-        .when(_holds("raw", UNSET) & _any("said", UNSET), "unset")
-        .when(filler | _holds("low", STANDINGS) & _any("low", STANDINGS), "filler")
+        F.when(_holds("certain") & _any("said", CERTAIN), "placeholder")
+        .when(_holds("unset") & _any("said", UNSET), "unset")
+        .when(filler | _holds("standings") & _any("low", STANDINGS), "filler")
         .when(repeated, "repeated")
-        .when(_holds("low", MESSAGES) & _any("low", MESSAGES), "message")
-        .when(_holds("low", STATUS) & _any("low", STATUS), "status")
-        .when(_holds("raw", DOUBTFUL) & _any("said", DOUBTFUL), "doubtful")
+        .when(_holds("messages") & _any("low", MESSAGES), "message")
+        .when(_holds("status") & _any("low", STATUS), "status")
+        .when(_holds("doubtful") & _any("said", DOUBTFUL), "doubtful")
     )
-    return _once(lines, "kind", kind).drop("low", "whole", "raw")
+    return _once(lines, "kind", kind).drop("low", "whole", "raw", "cues", "repeated")
 
 
 def _recurring(sentences: DataFrame) -> DataFrame:
@@ -251,9 +310,7 @@ def residue_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text")).where("text is not null and trim(text) <> ''")
     lines = rows.select("doc_id", "source", F.explode(F.split("text", r"[\r\n\u2028\u2029]+")).alias("line")).where(F.trim("line") != "")
     lines = _classified(lines)
-    normal = F.transform(F.split(masked(F.col("line")), rf"(?<={ENDS[:-1]})"), lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}\p{M}N]+", " ")))
-    letters = lambda x: F.length(F.regexp_replace(x, r"[ N]+", ""))
-    sentences = F.array_distinct(F.filter(normal, lambda x: letters(x) >= F.when(x.rlike(r"[\x00-\x{24f}]"), LEAST_LETTERS).otherwise(LEAST_LETTERS // 2)))
+    sentences = F.array_distinct(F.filter("sentences", lambda x: F.octet_length(F.translate(x, " N", "")) >= LEAST_BYTES))
     unit = F.when(F.col("unit") != "", F.xxhash64(F.trim(F.regexp_replace("unit", r"[^\p{L}]+", " "))))
     flagged = F.col("kind").isNotNull()
     marked = cut(lines.select("doc_id", "source", "kind", F.when(flagged, F.col("line")).alias("line"), F.when(flagged, F.col("said")).alias("said"), unit.alias("unit"), sentences.alias("sentences")))
