@@ -221,3 +221,32 @@ def test_a_placeholder_whose_surroundings_recur_unchanged_is_spoken_about(spark)
     used = [(10, "The weary swan %%title%% at the river sleeps.", "s0"), *((11 + i, f"Read our story {p} with great joy number {i}.", f"s{i}") for i, p in enumerate(("%%title%%", "%%name%%", "{{page}}")))]
     df = spark.createDataFrame(told + used, "doc_id bigint, text string, source string")
     assert {r["doc_id"] for r in residue.residue_lines(df).collect()} == {10, 11, 12, 13}
+
+
+def test_doubtful_dots_are_learned_and_viterbi_decides(spark):
+    end = ["The swan sleeps by the B.C.", "Peace feeds the law.", "The reed bends."]
+    rows = [f"Mr. Tandu feeds Jezul in the ninth century B.C. The swan of roll {i} sleeps. No. {i} is lost, cf. Zemor. Peace rests.\n\n{end[i % 3]}" for i in range(300)]
+    model = sentences.train(sentences.text_contexts(spark.createDataFrame(list(enumerate(rows)), TEXTS), "id", "text"))
+    text = "Mr. Tandu feeds Jezul in the ninth century B.C. The swan sleeps."
+    assert [text[a:b] for a, b in sentences.split_text(text, model)] == ["Mr. Tandu feeds Jezul in the ninth century B.C.", "The swan sleeps."]
+    # the same dots come out the other way where the corpus says so
+    rows = [f"The letter of C. The Elder is lost. Peace feeds roll {i}.\n\nThe swan sleeps." for i in range(300)]
+    other = sentences.train(sentences.text_contexts(spark.createDataFrame(list(enumerate(rows)), TEXTS), "id", "text"))
+    assert [text[a:b] for a, b in sentences.split_text(text, other)] != [text[a:b] for a, b in sentences.split_text(text, model)]
+
+
+def test_bare_text_is_cut_by_the_model_of_stripped_text(spark):
+    import random
+
+    rng = random.Random(3)
+    sentence = lambda: "".join(rng.choice("山水月風花鳥魚牛") for _ in range(rng.randrange(8, 13))) + rng.choice("矣也焉")
+    rows = [(i, "".join(sentence() + "。" for _ in range(6))) for i in range(300)]
+    model = sentences.train(sentences.text_contexts(spark.createDataFrame(rows, TEXTS), "id", "text"))
+    parts = [sentence() for _ in range(30)]
+    spans = sentences.split_text("".join(parts), model)
+    ends, at = set(), 0
+    for p in parts:
+        ends.add(at := at + len(p))
+    got = {b for _, b in spans}
+    assert len(got & ends) >= 0.9 * len(ends) and len(got & ends) >= 0.9 * len(got)
+    assert sentences.split_text("山水月矣風花\n鳥魚", model) == [(0, 6), (7, 9)]
