@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.operators.relational import split_join
-from lectern.session import spread
+from lectern.session import cut, spread
 
 # Letters of other scripts that are drawn like a Latin letter.
 LOOKALIKE_LETTERS = {
@@ -189,7 +189,7 @@ def same_looking_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     The pairs of forms are expanded to the rows that hold them; a form that holds
     a third of all rows makes no pair with itself and is spread over tasks.
     """
-    classes = look_classes(df, id_col, text_col)
+    classes = cut(look_classes(df, id_col, text_col))
     pairs = form_pairs(classes)
     first = split_join(classes.withColumnRenamed("id", "x"), pairs, ["look", "form"]).select("look", F.col("other").alias("form"), "x")
     both = split_join(first, classes.withColumnRenamed("id", "y"), ["look", "form"]).where("x <> y")

@@ -181,3 +181,41 @@ def test_automaton_finds_the_longest_matches():
         assert (state >= 0) == any(piece in x for x in joined)
         if state > 0:
             assert set(automaton.items[state]) == {i for i, x in enumerate(joined) if piece in x}
+
+
+def test_the_longest_ordered_pair_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(200):
+        chains = []
+        for _ in range(rng.randrange(1, 130)):
+            a, c = rng.randrange(100), rng.randrange(60)
+            n = rng.randrange(1, 12)
+            chains.append((a, a + n, c, c + min(n, 62 - c), 1.0))
+        brute = max(x[3] - x[2] for x in chains)
+        for x, y in itertools.permutations(chains, 2):
+            if x[1] <= y[0] and x[3] <= y[2]:
+                brute = max(brute, x[3] - x[2] + y[3] - y[2])
+        top = leakage._longest_pair(chains, 62)
+        assert sum(x[3] - x[2] for x in top) == brute
+
+
+def test_spans_are_in_the_stored_text_and_are_removed(spark):
+    words = PASSAGE.split()
+    text = f"<p>Gardens &amp; wells.</p> {' '.join(words[:5])} <b>{words[5].upper()}</b>[3] {' '.join(words[6:20])}. The end, ﬁnally."
+    docs = spark.createDataFrame([(1, text), (2, "No such thing.")], "doc_id bigint, text string")
+    found = leakage.leaks(docs, spark.createDataFrame([(1, PASSAGE)], "item_id bigint, passage string"))
+    (row,) = found.collect()
+    ((a, b),) = row["spans"]
+    assert text[a:b].startswith("The drum") and text[a:b].endswith(words[19])
+    assert [tuple(r) for r in leakage.cleaned(docs, found).collect()] == [(1, text[:a] + text[b:])]
+    assert all(leakage.tokens(text)[k] == leakage.plain(text[a:b]).strip() for k, (a, b) in enumerate(leakage.token_places(text)))
+
+
+def test_short_mixed_and_numeric_passages_and_many_stretches(spark):
+    passages = [(1, "The drum divides towers daily"), (2, "龍門客棧 the inn of the dragon gate 風雨夜行人不歸山中無曆日"), (3, "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9"), (4, PASSAGE)]
+    words = PASSAGE.split()
+    refrain = " ".join(f"{words[0]} {words[1]} {words[2]} {words[3]} {words[4]} {words[5]} {words[6]} {words[7]} swan{i} reed{i} oak{i} elm{i} ash{i} fig{i} yew{i} fir{i} bay{i}" for i in range(100))
+    texts = ["So the drum divides towers and more.", "又 the inn of the dragon gate 風雨夜行人不歸", "Digits: 3, 1, 4, 1, 5, 9, 2, 6.", f"{refrain} {' '.join(words[9:18])}", "The drum divides."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame(passages, "item_id bigint, passage string")
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, items).collect()} == {(0, 1), (1, 2), (2, 3), (3, 4)}
