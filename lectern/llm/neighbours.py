@@ -24,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.relational import split_join
 from lectern.session import cut, spread
 
 #: Vectors from which the trees are fitted (a bounded sample), and rows compared with each other at once.
 SAMPLE, BLOCK = 20_000, 256
-#: Trees, candidates kept per vertex, reverse neighbours that take part in a round, rounds.
-TREES, WIDTH, REVERSE, ROUNDS = 3, 14, 10, 2
+#: Trees, candidates kept per vertex, reverse neighbours that take part in a round, rounds at most.
+TREES, WIDTH, REVERSE, ROUNDS = 3, 14, 10, 8
+#: Share of the edges that a round must have changed for another one to follow.
+CHANGED = 0.03
 #: Best partners that each member of a comparison offers, and those a tree's block offers.
 OFFERED = 4
 GRAPH = "u bigint, v bigint, sim float, fresh boolean"
@@ -104,19 +107,41 @@ def _edge_batch(u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim.astype("f4")), pa.array(np.ones(len(u), bool))], names=["u", "v", "sim", "fresh"])
 
 
+def _leaves(x: np.ndarray, planes: np.ndarray, cuts: np.ndarray, depth: int) -> np.ndarray:
+    at = np.ones(len(x), int)
+    for _ in range(depth):
+        at = 2 * at + (np.einsum("ij,ij->i", x, planes[at]) > cuts[at])
+    return at
+
+
 def _tree_edges(nodes: DataFrame, n: int, sample: np.ndarray, depth: int, seed: int) -> DataFrame:
+    """Edges inside the consecutive blocks of one tree.
+
+    Below the depth that the sample can fit, a leaf is split on by random
+    hyperplanes through the mean of its part of the sample, one for each further
+    halving that the number of vectors asks for.
+    """
     planes, cuts = _fit_tree(sample, depth, seed)
-    along = np.random.default_rng(seed + 7919).standard_normal(sample.shape[1]).astype("f4")
-    shared = nodes.sparkSession.sparkContext.broadcast((planes, cuts, along))
+    rng = np.random.default_rng(seed + 7919)
+    along = rng.standard_normal(sample.shape[1]).astype("f4")
+    more = max(0, min(40, math.ceil(math.log2(max(n, 1) / BLOCK)) - depth))
+    further = rng.standard_normal((sample.shape[1], more)).astype("f4")
+    means = np.zeros((2 ** (depth + 1), sample.shape[1]), "f4")
+    leaf = _leaves(sample, planes, cuts, depth)
+    np.add.at(means, leaf, sample)
+    means /= np.maximum(np.bincount(leaf, minlength=len(means)), 1)[:, None]
+    shared = nodes.sparkSession.sparkContext.broadcast((planes, cuts, along, further, means @ further))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes, cuts, along = shared.value
+        planes, cuts, along, further, middle = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, at = _directions(_matrix(batch.column(1), "i1")), np.ones(batch.num_rows, int)
-            for _ in range(depth):
-                at = 2 * at + (np.einsum("ij,ij->i", x, planes[at]) > cuts[at])
+            x = _directions(_matrix(batch.column(1), "i1"))
+            at = _leaves(x, planes, cuts, depth)
+            sides = x @ further > middle[at]
+            for k in range(more):
+                at = 2 * at + sides[:, k]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int64()), pa.array((x @ along).astype("f8"))], names=["id", "code", "leaf", "place"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +219,7 @@ def _round(graph: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(u, near): approximate nearest neighbours of each vertex of ``nodes`` (id, code)."""
+    """(u, near): approximate nearest neighbours of each vertex of ``nodes`` (id, code); rounds go on while they change enough."""
     n = nodes.count()
     depth = max(0, min(math.ceil(math.log2(max(n, 1) / BLOCK)), int(math.log2(SAMPLE / 32))))
     drawn = nodes.orderBy(F.xxhash64("id")).limit(SAMPLE).select("code").toArrow()
@@ -209,6 +234,9 @@ def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         found = _round(graph, nodes)
         stale = graph.select("u", F.explode(old).alias("e")).select("u", "e.v", "e.sim", F.lit(False).alias("fresh"))
         graph = cut(_kept(stale.unionByName(found), WIDTH))
+        changed = graph.agg(F.sum(F.size(F.filter("near", lambda e: e["fresh"]))) / F.sum(F.size("near"))).first()[0]
+        if (changed or 0.0) < CHANGED:
+            break
     return graph
 
 
@@ -252,16 +280,18 @@ def nearest_neighbours(df: DataFrame, id_col: str = "chunk_id", vector_col: str
     targets = members.withColumn("n", F.row_number().over(small)).where(F.col("n") <= k + 1).select(F.col("rep").alias("v"), F.col("id").alias("neighbour"))
     sources = members.select(F.col("rep").alias("u"), "id")
     order = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    spreaded = both.join(targets, "v").join(sources, "u").where("id <> neighbour")
+    # the copies of one vector may be a third of all rows
+    spreaded = split_join(sources, both.join(targets, "v"), ["u"]).where("id <> neighbour")
     return spreaded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "neighbour", "cosine", "rank")
 
 
-def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int = 8, beam: int = 16, rounds: int = 6, entries: int = 2048) -> DataFrame:
+def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int = 8, beam: int = 16, rounds: int = 40, entries: int = 2048) -> DataFrame:
     """(query, v, sim): greedy search of all queries at once over a finished graph.
 
     ``queries`` is (query, code).  The beam of each query starts at the best of a
     bounded set of entry vertices; every round joins its unvisited members with
-    the graph, compares the new vertices, and keeps the best.
+    the graph, compares the new vertices, and keeps the best.  The search ends when
+    no beam has an unvisited member.
     """
     drawn = nodes.orderBy(F.xxhash64("id", F.lit(1))).limit(entries).select("id", "code").toArrow()
     start_ids = drawn.column(0).to_numpy()
@@ -294,6 +324,8 @@ def graph_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int
     links = cut(ahead.unionByName(behind).groupBy(F.col("u").alias("v")).agg(F.collect_set("v").alias("near")))
     for _ in range(rounds):
         open_ = state.where("not seen")
+        if open_.isEmpty():
+            break
         reached = open_.join(links, "v").select("query", F.explode("near").alias("v")).distinct().join(state.select("query", "v"), ["query", "v"], "left_anti")
         new = reached.join(queries, "query").withColumnRenamed("code", "x").join(nodes.select(F.col("id").alias("v"), "code"), "v").select("query", "v", "x", "code").mapInArrow(scored, kind)
         merged = state.withColumn("seen", F.lit(True)).unionByName(new)

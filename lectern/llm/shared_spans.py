@@ -30,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.relational import split_join
 from lectern.session import cut, spread
 
 SPAN = 150
 #: Characters of a group of texts, of a segment of a very long text, and window hashes of a bucket.
 GROUP_CHARS, SEGMENT_CHARS, BUCKET_HASHES = 1_500_000, 400_000, 2_000_000
+#: How many times larger groups and buckets may be for large inputs, as a task's memory allows.
+WIDEST = 3.0
 #: Products of windows and blocks of one hash from which the whole span is the key.
 HEAVY = 250_000
 
@@ -78,6 +81,11 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel())
 
 
+def partitions(groups: int) -> int:
+    """Shuffle partitions for so many groups: one each, and more groups a partition only beyond twenty thousand."""
+    return max(1, min(groups, 20_000))
+
+
 def _distinct_texts(rows: DataFrame, span: int, groups: int) -> DataFrame:
     """(g, key, base, first, last, text): segments of each distinct text, grouped.
 
@@ -98,6 +106,7 @@ def _distinct_texts(rows: DataFrame, span: int, groups: int) -> DataFrame:
 
     margin = span  # characters before and after, for whole windows and their surroundings
     local = rows.mapInArrow(once, "key binary, text string")
+    shares = partitions(groups)
     parts = local.select("key", "text", F.explode(F.expr(f"sequence(0L, cast(length(text) - 1 as bigint), {SEGMENT_CHARS}L)")).alias("at"))
     parts = parts.select(
         F.pmod(F.xxhash64("key", "at"), F.lit(groups)).alias("g"),
@@ -107,7 +116,7 @@ def _distinct_texts(rows: DataFrame, span: int, groups: int) -> DataFrame:
         (F.col("at") + SEGMENT_CHARS).alias("last"),
         F.expr(f"substring(text, cast(greatest(at - {margin}, 0) + 1 as int), cast({SEGMENT_CHARS + 2 * margin} as int))").alias("text"),
     )
-    return parts.repartition("g").groupBy("g", "key", "first").agg(F.first("base").alias("base"), F.first("last").alias("last"), F.first("text").alias("text"))
+    return parts.repartition(shares, "g").groupBy("g", "key", "first").agg(F.first("base").alias("base"), F.first("last").alias("last"), F.first("text").alias("text"))
 
 
 def _group_windows(table: pa.Table, block: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
@@ -125,8 +134,10 @@ def occurrences(rows: DataFrame, span: int = SPAN) -> DataFrame:
     """
     block = span // 2
     chars = rows.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
-    groups = max(1, math.ceil(chars / GROUP_CHARS))
-    buckets = 1 << max(0, math.ceil(math.log2(max(1, chars / BUCKET_HASHES))))
+    # a group sends a row to each bucket, so both grow a little with the input to keep these rows few
+    wider = min(WIDEST, max(1.0, math.sqrt(chars / 1e9)))
+    groups = max(1, math.ceil(chars / (GROUP_CHARS * wider)))
+    buckets = 1 << max(0, math.ceil(math.log2(max(1, chars / (BUCKET_HASHES * wider)))))
     bits = min(60, max(32, math.ceil(math.log2(max(chars, 1))) + 6))
     shift = np.uint64(bits - int(math.log2(buckets)))
     texts = _distinct_texts(rows, span, groups)
@@ -178,9 +189,9 @@ def occurrences(rows: DataFrame, span: int = SPAN) -> DataFrame:
         return pa.table(cols, schema=kinds)
 
     asked_rows = texts.groupBy("g").applyInArrow(asked, "bucket bigint, g bigint, once binary, often binary, blocks binary")
-    replies = asked_rows.groupBy("bucket").applyInArrow(answered, "g bigint, hashes binary")
+    replies = asked_rows.repartition(partitions(buckets), "bucket").groupBy("bucket").applyInArrow(answered, "g bigint, hashes binary")
     schema = "hash bigint, key binary, at bigint, anchor boolean, before string, inside string, after string"
-    return texts.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(located, schema)
+    return texts.groupBy("g").cogroup(replies.repartition(partitions(groups), "g").groupBy("g")).applyInArrow(located, schema)
 
 
 def _common(a: str, b: str) -> int:
@@ -241,16 +252,26 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
     return rows.where(F.length("text") >= span).select("id", F.unhex(F.md5("text")).alias("key"), "text")
 
 
-def span_pairs(df: DataFrame, id_col: str, text_col: str, span: int = SPAN) -> DataFrame:
-    """(id_a, id_b): rows whose texts share a verbatim span of at least ``span`` characters."""
+def span_classes(df: DataFrame, id_col: str, text_col: str, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
+    """(id, key): the class of equal texts of each row that is long enough; and (key, other): the classes that share a span."""
     rows = _keyed(df, id_col, text_col, span)
-    members = rows.select("key", "id").distinct()
     linked = shared_stretches(rows.select("key", "text"), span).where("key < other").select("key", "other").distinct()
-    across = linked.join(members, "key").select("other", F.col("id").alias("x")).join(members.withColumnRenamed("key", "other"), "other").select("x", F.col("id").alias("y"))
-    copied = members.groupBy("key").count().where("count > 1").select("key")
-    copies = members.join(copied, "key", "left_semi")
-    within = copies.select("key", F.col("id").alias("x")).join(copies.select("key", F.col("id").alias("y")), "key").where("x < y").select("x", "y")
-    return across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    return rows.select("id", "key").distinct(), linked
+
+
+def span_pairs(df: DataFrame, id_col: str, text_col: str, span: int = SPAN) -> DataFrame:
+    """(id_a, id_b): rows whose texts share a verbatim span of at least ``span`` characters.
+
+    The pairs of classes are expanded to their rows, and each class with several
+    rows to the pairs inside it; a class with many rows is spread over tasks.
+    """
+    members, linked = span_classes(df, id_col, text_col, span)
+    members = cut(members)
+    copied = members.groupBy("key").count().where("count > 1").select("key", F.col("key").alias("other"))
+    links = cut(linked).unionByName(copied)
+    across = split_join(members.withColumnRenamed("id", "x"), links, ["key"]).select(F.col("other").alias("key"), F.col("key").alias("of"), "x")
+    both = split_join(across, members.withColumnRenamed("id", "y"), ["key"]).where("x <> y and (key <> of or x < y)")
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def shared_share(df: DataFrame, id_col: str, text_col: str, span: int = SPAN) -> DataFrame:
@@ -284,5 +305,18 @@ def p4_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(spark.read.parquet(f"{sf_dir}/document_chunks.parquet"), "id", "chunk_text").withColumnRenamed("id", "chunk_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_share": p4_share}
-ORACLE: dict[str, str] = {}
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, representative, links): each long enough chunk, the smallest id with its text, and how many other texts share a span with it."""
+    members, linked = span_classes(spark.read.parquet(f"{sf_dir}/document_chunks.parquet"), "id", "chunk_text")
+    both = linked.unionByName(linked.select(F.col("other").alias("key"), F.col("key").alias("other")))
+    links = both.groupBy("key").agg(F.count("*").alias("links"))
+    first = members.groupBy("key").agg(F.min("id").alias("representative"))
+    out = members.join(first, "key").join(links, "key", "left")
+    return out.select(F.col("id").alias("chunk_id"), "representative", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_share": p4_share, "p4_classes": p4_classes}
+_WINDOWS = f"SELECT id, substring(chunk_text, p, {SPAN}) AS w FROM (SELECT id, chunk_text, unnest(range(1, length(chunk_text) - {SPAN} + 2)) AS p FROM document_chunks WHERE length(chunk_text) >= {SPAN})"
+ORACLE: dict[str, str] = {
+    "p4_found": f"WITH w AS (SELECT DISTINCT id, md5(w) AS w FROM ({_WINDOWS})) SELECT DISTINCT a.id AS chunk_id_a, b.id AS chunk_id_b FROM w a JOIN w b ON a.w = b.w AND a.id < b.id",
+}
