@@ -75,3 +75,48 @@ def chunk_chapters(df: DataFrame, book_col: str, chapter_col: str, verses_col: s
     )
     folded = books.select(book_col, F.explode(F.expr(f"aggregate(units, {state}, (a, u) -> {step}, a -> {flushed})")).alias("k"))
     return folded.select(book_col, F.col("k.c").alias("start_chapter"), F.col("k.s").alias("start_verse"), F.array_join("k.v", " ").alias("text"))
+
+
+#: When a unit x opens a new chunk after the open one a, and when the chunk s is closed behind it: by an upper bound, and by a least size.
+TARGET_MAX = ("a.w > 0 and a.w + x.n > {most}", "s.w >= {target}")
+TARGET_MIN = ("x.n >= {joined} and a.w > 0 and a.w + x.n > {target} and a.w >= {least}", "false")
+
+
+def assigned(units: DataFrame, id_col: str, order_col: str, size_col: str, rule: tuple[str, str], **bounds: int) -> DataFrame:
+    """(id, order, chunk_index): the chunk of each unit.
+
+    The fold runs over the sizes of a record's units alone, so that a very long
+    record is a list of numbers, not of texts, in one row.
+    """
+    opens, closes = (r.format(**bounds) for r in rule)
+    lists = units.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(size_col).cast("bigint").alias("n")))).alias("l"))
+    step = (
+        f"transform(array(if({opens}, named_struct('k', a.k + 1, 'w', x.n), named_struct('k', a.k, 'w', a.w + x.n))), s -> "
+        f"named_struct('k', if({closes}, s.k + 1, s.k), 'w', if({closes}, 0L, s.w), 'out', concat(a.out, array(s.k))))[0]"
+    )
+    fold = f"aggregate(l, named_struct('k', 0, 'w', 0L, 'out', cast(array() as array<int>)), (a, x) -> {step}, a -> a.out)"
+    return lists.select(id_col, F.explode(F.arrays_zip(F.col("l.o").alias("o"), F.expr(fold).alias("k"))).alias("z")).select(id_col, F.col("z.o").alias(order_col), F.col("z.k").alias("chunk_index"))
+
+
+def chunk_cited(units: DataFrame, id_col: str, order_col: str, size_col: str, rule: tuple[str, str], joiner: str, least_words: int = 0, **bounds: int) -> DataFrame:
+    """Chunks with their citation, from units (id, order, text, reference, chapter, section, is_verse, preamble, size).
+
+    A preamble has no size of its own; it stands before the first chunk, a blank
+    line apart.  reference joins the first and the last one; chapter and section
+    are the first that aren't empty; one verse makes a chunk verse; a chunk of
+    fewer than ``least_words`` words is dropped.
+    """
+    body = units.where("not preamble")
+    placed = body.join(assigned(body, id_col, order_col, size_col, rule, **bounds), [id_col, order_col])
+    full = placed.unionByName(units.where("preamble").withColumn("chunk_index", F.lit(0)))
+    own = ~F.col("preamble")
+    ordered = lambda value, keep: F.transform(F.array_sort(F.collect_list(F.when(keep & value.isNotNull(), F.struct(F.col(order_col).alias("o"), value.alias("v"))))), lambda s: s["v"])
+    rows = full.groupBy(id_col, "chunk_index").agg(
+        F.array_join(ordered(F.col("text"), ~own), joiner).alias("lead"), F.array_join(ordered(F.col("text"), own), joiner).alias("body"), ordered(F.nullif("reference", F.lit("")), own).alias("r"),
+        F.try_element_at(ordered(F.nullif("chapter", F.lit("")), own), F.lit(1)).alias("chapter"), F.try_element_at(ordered(F.nullif("section", F.lit("")), own), F.lit(1)).alias("section"), F.coalesce(F.bool_or("is_verse"), F.lit(False)).alias("is_verse"),
+    )
+    first, last = F.try_element_at("r", F.lit(1)), F.try_element_at("r", F.lit(-1))
+    text = F.array_join(F.filter(F.array("lead", "body"), lambda x: x != ""), "\n\n")
+    out = rows.select(id_col, "chunk_index", text.alias("text"), F.when(first == last, first).otherwise(F.concat(first, F.lit("–"), last)).alias("reference"), "chapter", "section", "is_verse")
+    words, tokens = F.expr(WORDS.format(u="text")), F.expr(TOKENS.format(u="text"))
+    return out.withColumns({"words": words, "tokens": tokens}).where(F.col("words") >= least_words)

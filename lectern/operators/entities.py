@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import similarity, trigrams
+from lectern.session import spread
 
 # Name columns of an entity and the language of each.
 NAME_COLUMNS = {"pali": "pli", "sanskrit": "san", "classical_chinese": "lzh", "tibetan": "bo", "english_preferred": "en"}
@@ -47,21 +52,53 @@ def mentions(texts: DataFrame, variants: DataFrame, id_col: str, text_col: str)
     return found.groupBy("id", "entity_id").agg(F.min("pos").alias("first_word"))
 
 
+#: Characters of the names in one automaton.
+NAME_CHARS = 4_000_000
+
+
+def _name_portions(rows: Iterable[tuple[str, int]]) -> Iterator[list[tuple[str, int]]]:
+    part, size = [], 0
+    for name, entity in rows:
+        if part and size + len(name) > NAME_CHARS:
+            yield part
+            part, size = [], 0
+        part.append((name, entity))
+        size += len(name)
+    if part:
+        yield part
+
+
 def substring_tags(texts: DataFrame, variants: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, entity_id): entities with a name anywhere in the text, whatever the case.
 
-    Name and text meet on the first three characters of the name, or on a shorter
-    name itself, among the text's distinct short substrings; the whole name is
-    compared afterwards.
+    All names are looked for at once by an automaton in each task; the texts are
+    read and never shuffled.  An automaton holds ``NAME_CHARS`` characters of
+    names at most; more names take further scans.
     """
-    names = one_owner(variants).select("entity_id", F.lower("name_text").alias("name")).distinct()
-    names = names.select("entity_id", "name", F.substring("name", 1, 3).alias("gram"))
-    low = texts.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.lower(text_col).alias("low"))
-    places = F.sequence(F.lit(1), F.length("low"))
-    short = F.transform(places, lambda i: F.array(*(F.substring("low", i, n) for n in (1, 2, 3))))
-    grams = F.array_distinct(F.flatten(short))
-    hits = low.select("id", F.explode(grams).alias("gram")).join(names, "gram").join(low, "id")
-    return hits.where(F.col("low").contains(F.col("name"))).select("id", "entity_id").distinct()
+    names = one_owner(variants).select(F.lower("name_text").alias("name"), "entity_id").distinct().orderBy("name", "entity_id")
+    low = texts.where(F.length(text_col) > 0).select(F.col(id_col).cast("bigint").alias("id"), F.lower(text_col).alias("low"))
+    found = texts.sparkSession.createDataFrame([], "id bigint, entity_id bigint")
+    for portion in _name_portions((r["name"], r["entity_id"]) for r in names.toLocalIterator()):
+        shared = texts.sparkSession.sparkContext.broadcast(portion)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            owners: dict[str, list[int]] = {}
+            for name, entity in shared.value:
+                owners.setdefault(name, []).append(entity)
+            search = ahocorasick.Automaton()
+            for name, entities in owners.items():
+                search.add_word(name, entities)
+            search.make_automaton()
+            for batch in batches:
+                ids, entities = [], []
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    hit = {e for _, several in search.iter(text) for e in several}
+                    ids += [i] * len(hit)
+                    entities += hit
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(entities, pa.int64())], names=["id", "entity_id"])
+
+        found = found.unionByName(spread(low).mapInArrow(run, "id bigint, entity_id bigint"))
+    return found.distinct()
 
 
 def fuzzy_lookup(queries: DataFrame, names: DataFrame, query_id: str, query_text: str, name_id: str, name_text: str, least: float = 0.3, top: int = 5) -> DataFrame:

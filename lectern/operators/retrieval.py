@@ -6,6 +6,7 @@ so that no tie is left open.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import lexemes, query_terms, term_rank
-from lectern.functions.vector import block_best, block_topk, cosine, packed
+from lectern.functions.vector import BLOCK, block_best, block_topk, cosine, packed
 
 #: Constants of reciprocal-rank fusion: damping, weights of the two lists, boost of an entity, size of the pool.
 RRF_K, DENSE_WEIGHT, LEXICAL_WEIGHT, ENTITY_BOOST, POOL = 60, 0.7, 0.3, 0.25, 60
@@ -221,44 +222,63 @@ def uses_lexical(traditions: Column, languages: Column) -> Column:
     return F.when(useless, False).when(F.size(lang) > 0, F.arrays_overlap(lang, F.array(*map(F.lit, LEXICAL_LANGUAGES)))).otherwise(True)
 
 
+def _unit_rows(column: pa.Array) -> np.ndarray:
+    x = np.array(column.to_pylist(), "f8")
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def ivf_search(queries: DataFrame, vectors: DataFrame, k: int = 10, probes: int | None = None, sample: int = 20_000) -> DataFrame:
     """(query_id, id, score, rank): search of the nearest lists only.
 
-    Centroids (the root of the number of rows, at least 10) are fitted on a
-    bounded sample by a few rounds of spherical k-means; every row is assigned to
-    one list, every query probes ``probes`` of them, a third by default.
+    There are as many lists as the root of the number of rows, at least 10.  Their
+    centres are fitted on a bounded sample by a few rounds of spherical k-means;
+    every row is kept in the list of its nearest centre, every query looks into
+    ``probes`` of them, twice the root of their number by default.  A list is kept
+    as blocks of at most about ``BLOCK`` vectors, so a large one is spread over
+    tasks; queries meet blocks, each pair is one product and gives its best ``k``.
     """
+    usable = "embedding is not null and exists(embedding, x -> x <> 0) and not exists(embedding, x -> x is null or isnan(x))"
+    vectors, queries = vectors.where(usable).select("id", "embedding"), queries.where(usable).select("id", "embedding")
     n = vectors.count()
-    lists = max(10, min(int(n**0.5), 1024))
-    drawn = np.array([r[0] for r in vectors.where("embedding is not null and exists(embedding, x -> x <> 0)").orderBy(F.xxhash64("id")).limit(sample).select("embedding").collect()], "f8")
-    if not len(drawn):
+    if not n:
         return dense(queries, vectors, k)
-    drawn /= np.linalg.norm(drawn, axis=1, keepdims=True)
-    centres = drawn[: min(lists, len(drawn))]
+    drawn = _unit_rows(vectors.orderBy(F.xxhash64("id")).limit(sample).select("embedding").toArrow().column(0))
+    centres = drawn[: max(10, math.isqrt(n))]
     for _ in range(8):
         nearest = np.argmax(drawn @ centres.T, axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, drawn)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
-    probes = probes or max(1, len(centres) // 3)
+    probes = min(len(centres), probes or 2 * math.isqrt(len(centres)))
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def placed(many: int):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for df in frames:
-                if len(df):
-                    x = np.array(df["embedding"].tolist(), "f8")
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = _unit_rows(batch.column(1))
                     near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :many]
-                    yield pd.DataFrame({"id": np.repeat(df["id"].to_numpy(), near.shape[1]), "unit": [row for row in x for _ in range(near.shape[1])], "list": near.ravel()})
+                    rows = [r.tobytes() for r in x]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), near.shape[1])), pa.array([r for r in rows for _ in range(near.shape[1])], pa.binary()), pa.array(near.ravel())], names=["id", "unit", "list"])
 
         return run
 
-    usable = "embedding is not null and exists(embedding, x -> x <> 0)"
-    schema = "id bigint, unit array<double>, list bigint"
-    index = vectors.where(usable).select("id", "embedding").mapInPandas(placed(1), schema)
-    asked = queries.where(usable).select("id", "embedding").mapInPandas(placed(probes), schema).select(F.col("id").alias("query_id"), F.col("unit").alias("q"), "list")
-    met = asked.join(index, "list")
-    scored = met.select("query_id", "id", F.round(F.aggregate(F.zip_with("q", "unit", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6).alias("score"))
-    return top(scored, k, F.desc("score"), "id")
+    schema = "id bigint, unit binary, list bigint"
+    index = vectors.mapInArrow(placed(1), schema)
+    # every list is dealt out to so many blocks that the largest list has blocks of the wanted size
+    parts = max(1, math.ceil((index.groupBy("list").count().agg(F.max("count")).first()[0] or 1) / BLOCK))
+    block = lambda df, many: df.groupBy("list", F.pmod(F.xxhash64("id"), F.lit(many)).alias("part")).agg(F.collect_list("id").alias("ids"), F.collect_list("unit").alias("units"))
+    asked = block(queries.mapInArrow(placed(probes), schema), max(1, math.ceil(queries.count() / BLOCK))).select("list", F.col("ids").alias("q"), F.col("units").alias("x"))
+    pairs = asked.join(block(index, parts), "list").select("q", "x", "ids", "units")
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, x, ids, y in zip(*(c.to_pylist() for c in batch.columns)):
+                q, ids = np.array(q), np.array(ids)
+                x, y = (np.frombuffer(b"".join(m)).reshape(len(m), -1) for m in (x, y))
+                sims = np.round(x @ y.T, 6)
+                order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])), pa.array(ids[order.ravel()]), pa.array(np.take_along_axis(sims, order, 1).ravel())], names=["query_id", "id", "score"])
+
+    return top(pairs.mapInArrow(multiplied, "query_id bigint, id bigint, score double"), k, F.desc("score"), "id")

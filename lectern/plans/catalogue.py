@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.plans import relational, search, texts
+from lectern.plans import citations, relational, search, texts
 
 FLAGSHIP = "hybrid_search"
-QUERIES = relational.QUERIES | texts.QUERIES | search.QUERIES
-ORACLE = relational.ORACLE | texts.ORACLE | search.ORACLE
+QUERIES = relational.QUERIES | texts.QUERIES | citations.QUERIES | search.QUERIES
+ORACLE = relational.ORACLE | texts.ORACLE | citations.ORACLE | search.ORACLE
