@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import evaluation as V
 from lectern.operators import retrieval as R
+from lectern.operators.relational import Scope, star
 from lectern.session import cut, table
 
 DIVISOR, SHARDS = 20, 3
@@ -155,6 +156,42 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return best.join(texts, "text_id").join(corpora, "corpus_id").select("query_id", "rank", "id", "text_id", "score", "external_id", "title_english", "code")
 
 
+#: The scope of the scoped search.
+SCOPE = Scope(languages=("en", "pli"), opt_in=("orvane-en",))
+
+
+def _in_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks in the scope, with the columns of their text and corpus."""
+    full = star(table(spark, d, "document_chunks"), table(spark, d, "canon_texts"), table(spark, d, "source_corpora"))
+    return full.where(SCOPE.condition("corpus_code", "text_tradition", "text_language", "text_collection"))
+
+
+def search_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search inside a scope: both lists are cut to it before they are ranked, then fused, boosted, one result a text, with all passage fields."""
+    scope = cut(_in_scope(spark, d))
+    ids = scope.select("id")
+    dense = R.dense(_item_vectors(spark, d), _vectors(spark, d).join(ids, "id", "left_semi"))
+    items = table(spark, d, "eval_items").select(F.col("item_id").alias("id"), F.col("query").alias("text"))
+    fts = R.lexical(items, scope.select("id", F.col("chunk_text").alias("text")))
+    wanted = table(spark, d, "document_chunks").select(F.col("id").alias("query_id"), F.col("entity_ids").alias("entities"))
+    boosted = R.entity_boost(R.rrf_weighted(dense, fts), scope.select("id", "entity_ids"), wanted)
+    best = R.first_of_group(boosted.join(scope.select("id", "text_id"), "id"), "text_id", 8).select("query_id", "rank", "id", "score")
+    fields = scope.select(
+        "id", "text_id", "reference", "chapter", "section", "is_verse", F.md5("chunk_text").alias("digest"), F.col("text_external_id").alias("external_id"), F.col("text_title_english").alias("title"),
+        F.col("text_translator").alias("translator"), F.col("text_language").alias("language"), F.col("text_tradition").alias("tradition"), F.col("corpus_code").alias("code"), F.col("corpus_name").alias("corpus"), F.col("corpus_license").alias("license"),
+    )
+    return best.join(fields, "id")
+
+
+def shard_fanout(spark: SparkSession, d: str) -> DataFrame:
+    """Every shard is searched by itself and gives its own pool; the pools' ranks are merged."""
+    vectors, ranked = _vectors(spark, d), None
+    for shard in range(SHARDS):
+        part = R.dense(_sampled(vectors), vectors.where(F.col("id") % SHARDS == shard)).withColumn("account", F.lit(shard + 1))
+        ranked = part if ranked is None else ranked.unionByName(part)
+    return R.merge_shards(ranked, "account", 8).select("query_id", "account", "id", "score", "rank")
+
+
 def infer_rerank(spark: SparkSession, d: str) -> DataFrame:
     """The rerank mode and the use of the lexical list that each logged request would get."""
     modes = {"orvane-en": "mmr", "upakatha": "none"}
@@ -207,6 +244,23 @@ def source_ndcg(spark: SparkSession, d: str) -> DataFrame:
     return V.ndcg_graded(once)
 
 
+def text_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and reciprocal rank by texts: the list with one result a text, and the query's own text as gold."""
+    dims = _dims(spark, d)
+    ranked, _ = _gold(spark, d)
+    texts = R.first_of_group(ranked.join(dims, "id"), "text_id").select("query_id", F.col("text_id").alias("id"), "rank")
+    gold = _sampled(_vectors(spark, d)).select("id").join(dims, "id").where("text_id is not null").select(F.col("id").alias("query_id"), F.col("text_id").alias("id"))
+    return V.recall_at(texts, gold).join(V.reciprocal_rank(texts, gold), "query_id")
+
+
+def corpus_means(spark: SparkSession, d: str) -> DataFrame:
+    """Mean reciprocal rank by corpus of the query, of all queries and of those with any hit."""
+    ranked, gold = _gold(spark, d)
+    corpus = table(spark, d, "document_chunks").select(F.col("id").alias("query_id"), F.coalesce("corpus_code", F.lit("unknown")).alias("code"))
+    rows = V.reciprocal_rank(ranked, gold).join(corpus, "query_id")
+    return rows.groupBy("code").agg(F.count("*").alias("n"), F.round(F.avg("rr"), 4).alias("mean"), F.round(F.avg(F.when(F.col("rr") > 0, F.col("rr"))), 4).alias("mean_positive"))
+
+
 def eval_averages(spark: SparkSession, d: str) -> DataFrame:
     """Mean recall and reciprocal rank by language of the query and over all."""
     ranked, gold = _gold(spark, d)
@@ -268,8 +322,8 @@ def _ndcg_sql(source: str, wanted: str) -> str:
 _RECALLS = ", ".join(f"coalesce((min(rank) <= {k})::INTEGER, 0) AS r{k}" for k in V.DEPTHS)
 QUERIES = {f.__name__: f for f in (
     dense_topk, dense_masked, max_similarity_by_text, ann_ivf, fts_or, fts_websearch, rrf_weighted, rrf_zero_based, rrf_one_based, entity_boost,
-    text_dedup, two_level_ranked, max_similarity_full, two_level_full, fingerprint_dedup, mmr, shard_merge, late_fetch, hybrid_search, infer_rerank, recall_at_k, mrr, ndcg_binary,
-    ndcg_graded_self, ndcg_graded_max, source_ndcg, eval_averages, pool_candidates,
+    text_dedup, two_level_ranked, max_similarity_full, two_level_full, fingerprint_dedup, mmr, shard_merge, late_fetch, hybrid_search, search_scoped, shard_fanout, infer_rerank, recall_at_k, mrr, ndcg_binary,
+    ndcg_graded_self, ndcg_graded_max, source_ndcg, text_recall, corpus_means, eval_averages, pool_candidates,
 )}
 _RERANK_SQL = " ".join(f"WHEN len(one) = 1 AND one[1] = '{t}' THEN '{m}'" for t, m in R.TRADITION_RERANK.items())
 ORACLE = {
@@ -297,6 +351,22 @@ ORACLE = {
     "late_fetch": f"WITH {_ITEM}, {_FTS}, {_FUSED}, {_BOOST} SELECT b.query_id, b.id, b.rank, c.reference, c.section, md5(c.chunk_text) AS digest, t.external_id, t.title_english, t.translator, t.tradition, t.language FROM boosted b JOIN document_chunks c ON c.id = b.id JOIN canon_texts t ON t.id = c.text_id WHERE b.rank <= 8",
     "hybrid_search": f"""WITH {_ITEM}, {_FTS}, {_FUSED}, {_BOOST}, t AS (SELECT boosted.*, c.text_id FROM boosted JOIN document_chunks c ON c.id = boosted.id), f AS ({_FIRST.format(g='text_id', source='t')})
         SELECT f.query_id, f.rank, f.id, f.text_id, f.score, x.external_id, x.title_english, s.code FROM f JOIN canon_texts x ON x.id = f.text_id JOIN source_corpora s ON s.id = x.corpus_id WHERE f.rank <= 8""",
+    "search_scoped": f"""WITH {_ITEM}, {_FTS},
+        scope AS (SELECT c.*, t.external_id, t.title_english, t.translator, t.language AS text_language, t.tradition AS text_tradition, s.code, s.name AS corpus, s.license FROM document_chunks c JOIN canon_texts t ON t.id = c.text_id JOIN source_corpora s ON s.id = t.corpus_id
+                  WHERE t.language IN ('en', 'pli') AND s.code NOT IN ('orvane-en')),
+        scoped_s AS (SELECT * FROM item_s WHERE id IN (SELECT id FROM scope)), scoped_dense AS ({_ranked('scoped_s', 60)}),
+        scoped_f AS (SELECT * FROM fs WHERE id IN (SELECT id FROM scope)), scoped_fts AS ({_ranked('scoped_f', 60)}), {_FUSED.replace('item_dense', 'scoped_dense').replace('FROM fts', 'FROM scoped_fts')}, {_BOOST},
+        t AS (SELECT boosted.*, c.text_id FROM boosted JOIN scope c ON c.id = boosted.id), f AS ({_FIRST.format(g='text_id', source='t')})
+        SELECT f.query_id, f.rank, f.id, f.score, c.text_id, c.reference, c.chapter, c.section, c.is_verse, md5(c.chunk_text) AS digest, c.external_id, c.title_english AS title, c.translator, c.text_language AS language, c.text_tradition AS tradition, c.code, c.corpus, c.license
+        FROM f JOIN scope c ON c.id = f.id WHERE f.rank <= 8""",
+    "shard_fanout": f"""WITH {_DENSE}, p AS (SELECT query_id, id, (id % {SHARDS} + 1)::INTEGER AS account, row_number() OVER (PARTITION BY query_id, id % {SHARDS} ORDER BY score DESC, id) AS r FROM ds),
+        s AS (SELECT query_id, account, id, round(1.0::DOUBLE / (60 + r), 6) AS score FROM p WHERE r <= 24) SELECT query_id, account, id, score, rank FROM ({_ranked('s', 8, 'score DESC, account, id')})""",
+    "text_recall": f"""WITH {_GOLD}, tr AS (SELECT ranked.*, c.text_id FROM ranked JOIN document_chunks c ON c.id = ranked.id), once AS ({_FIRST.format(g='text_id', source='tr')}),
+        own AS (SELECT v.id AS query_id, c.text_id FROM dv v JOIN document_chunks c ON c.id = v.id WHERE v.id % {DIVISOR} = 0 AND c.text_id IS NOT NULL),
+        th AS (SELECT own.query_id, once.rank FROM own LEFT JOIN once ON once.query_id = own.query_id AND once.text_id = own.text_id)
+        SELECT query_id, {_RECALLS}, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS rr FROM th GROUP BY query_id""",
+    "corpus_means": f"""WITH {_GOLD}, m AS (SELECT query_id, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS rr FROM hits GROUP BY query_id)
+        SELECT coalesce(c.corpus_code, 'unknown') AS code, count(*) AS n, round(avg(rr), 4) AS mean, round(avg(rr) FILTER (rr > 0), 4) AS mean_positive FROM m JOIN document_chunks c ON c.id = m.query_id GROUP BY 1""",
     "infer_rerank": f"""SELECT id, CASE {_RERANK_SQL} ELSE 'text_dedup' END AS mode, CASE WHEN len(t) > 0 AND len(list_filter(t, lambda x: x NOT IN ('pre-sectarian', 'theravada', 'judaism'))) = 0 THEN false WHEN len(l) > 0 THEN list_contains(l, 'en') ELSE true END AS lexical
         FROM (SELECT id, list_distinct(coalesce(traditions, [])) AS one, coalesce(traditions, []) AS t, coalesce(languages, []) AS l FROM api_usage)""",
     "recall_at_k": f"WITH {_GOLD} SELECT query_id, {_RECALLS} FROM hits GROUP BY query_id",
