@@ -105,6 +105,23 @@ def test_round_trip_of_wrong_decodings(ngrams, wrong):
     assert affected and restored == clean and chains
 
 
+def test_a_record_garbled_in_part_by_an_8_bit_encoding(spark, ngrams):
+    """Five garbled words among many clean ones are found and put right; held-out clean records set the margin."""
+    chunks = spark.read.parquet("/root/testdata/sf0.01/document_chunks.parquet").where("chunk_text rlike '[ṣṭḍṇ]'").orderBy("id").toPandas()["chunk_text"]
+    back = {c: mojibake._upper("cp1252")[b] for b, c in mojibake.ROMANISED.items()}
+    found = tried = 0
+    for text in chunks:
+        words = text.split(" ")
+        at = [i for i, w in enumerate(words) if sum(c in back for c in w) >= 2][:5]
+        if len(at) == 5 and len(words) > 15 and mojibake._clean(text, ngrams.alphabet):
+            for i in at:
+                words[i] = "".join(back.get(c, c) for c in words[i])
+            tried += 1
+            found += mojibake.restore_text(" ".join(words), ngrams, {})[0]
+    assert tried >= 20 and found >= 0.95 * tried
+    assert ngrams.record_margin >= mojibake.LEAST_RECORD_MARGIN
+
+
 def test_what_is_no_wrong_decoding(ngrams):
     for text in ("A naïve façade begets a quarry.", "Þór of Kölso mourns.", "DRÖRRAM GATHERS", "Dhūbāsā (Ñ, fol. ½)", "thе swіft сity", "plain"):
         assert not mojibake.restore_text(text, ngrams, {})[0], text
