@@ -218,3 +218,31 @@ def test_groups_over_all_vectors(spark):
     chosen = list(dict.fromkeys(int(tags[i]) for i in order))[:8]
     want = [i for t in chosen for i in [i for i in order if tags[i] == t][:3]]
     assert [r["id"] for r in retrieval.two_level_full(query, vectors).orderBy("rank").collect()] == want
+
+
+def _shuffled_records(spark) -> int:
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_scores_of_all_groups_are_not_shuffled(spark):
+    """Each group's maximum is found where its vectors lie; only vectors are shuffled, never (query, group) pairs."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 4)).round(3)
+    x[7] = 0
+    tags = np.r_[np.full(2500, 5), np.arange(3500) % 700 + 6]  # one group is larger than a block
+    vectors = spark.createDataFrame([(i, x[i].tolist(), None if i == 3 else int(tags[i])) for i in range(6000)] + [(6000, None, 6)], "id bigint, embedding array<double>, tag bigint")
+    before = _shuffled_records(spark)
+    queries = vectors.where("id % 20 = 0").select("id", "embedding")
+    rows = retrieval.group_scores(queries.unionByName(queries.where("id = 40")), vectors).collect()
+    got = {(r["query_id"], r["tag"]): r["score"] for r in rows}
+    shuffled = _shuffled_records(spark) - before
+    x[3] = x[7]  # neither counts; the others have the length 1
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    for q in range(0, 6000, 20):
+        sims = np.where(np.any(x != 0, axis=1), u @ u[q], -9.0)
+        best = np.full(706, -9.0)
+        np.maximum.at(best, tags, sims)
+        assert all(abs(got[q, t] - best[t]) < 1e-6 for t in range(5, 706))
+    assert len(got) == len(rows) == 300 * 701
+    assert shuffled < 6000 + 300 * 4 < len(got)
