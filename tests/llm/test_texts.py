@@ -135,6 +135,38 @@ def test_repair_of_odd_rows(spark, ngrams):
     assert mojibake.train(df.limit(0).select("text")).margin >= mojibake.LEAST_MARGIN
 
 
+def _late(spark, texts, like):
+    """Of variants of each text one that comes late in the order of hashes, behind 3,000 of the rows beside it."""
+    rows = [(i, f"{text} {n}") for i, text in enumerate(texts) for n in range(60)]
+    best = spark.createDataFrame([(i, t) for i, t in rows], TEXTS).groupBy("id").agg(F.max(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m"))
+    found = [(r["m"]["h"], r["m"]["text"]) for r in best.collect()]
+    hashes = [r[0] for r in spark.createDataFrame([(t,) for t in like], "text string").select(F.xxhash64("text")).collect()]
+    assert all(sum(x < h for x in hashes) > 3000 for h, _ in found)
+    return [t for _, t in found]
+
+
+def _plain_and_odd(records, wrong, each):
+    """Many texts, and a few with words that gain by a chain from an 8-bit encoding."""
+    right = {"ñ": "ṭ", "õ": "ṇ"}[wrong]
+    letters = [chr(97 + k) for k in range(26)]
+    words = ["".join(letters[(i * k + k) % 26] for k in (3, 5, 7)) + right + "".join(letters[(i * k + k) % 26] for k in (11, 17, 19)) for i in range(records * each)]
+    plain = [f"{words[i % len(words)]} {words[(7 * i + 1) % len(words)]} again {i} āā īī ūū ēē" for i in range(4200)]
+    odd = [" ".join(words[i * each : (i + 1) * each]).replace(right, wrong) + " āā īī ūū ēē" for i in range(records)]
+    return plain, odd
+
+
+@pytest.mark.parametrize("records, wrong, each", [(40, "ñ", 1), (6, "õ", 3)], ids=["words", "records"])
+def test_margins_come_from_all_records(spark, records, wrong, each):
+    """Clean words of a few records gain by a chain from an 8-bit encoding; the margins know them, wherever in the data they lie."""
+    plain, odd = _plain_and_odd(records, wrong, each)
+    model = mojibake.train(spark.createDataFrame([(t,) for t in plain + _late(spark, odd, plain)], "text string"))
+    if each == 1:
+        assert model.margin > mojibake.LEAST_MARGIN + 2
+        assert model.restored({odd[0].split()[0]}, every=True)[odd[0].split()[0]][1][0] == ""
+    else:
+        assert model.record_margin > mojibake.LEAST_RECORD_MARGIN + 2
+
+
 # 6: tokenizer
 
 
