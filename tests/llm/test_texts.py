@@ -299,3 +299,14 @@ def test_bare_text_is_cut_by_the_model_of_stripped_text(spark):
     got = {b for _, b in spans}
     assert len(got & ends) >= 0.9 * len(ends) and len(got & ends) >= 0.9 * len(got)
     assert sentences.split_text("山水月矣風花\n鳥魚", model) == [(0, 6), (7, 9)]
+
+
+def test_sentences_leave_out_chunks_by_margins_of_all_records(spark, tmp_path):
+    """Chunks whose words gain as much as those of some other clean records do aren't left out as garbled, wherever these lie."""
+    plain, odd = _plain_and_odd(6, "õ", 6)
+    extra = " " + " ".join(f"{a}{b}" for a in "āīūē" for b in "āīū")
+    late = _late(spark, [t + extra for t in odd], plain)
+    spark.createDataFrame(list(enumerate(late + plain)), "id bigint, chunk_text string").write.parquet(f"{tmp_path}/document_chunks.parquet")
+    spark.createDataFrame([(1, "again")], "id bigint, title_sanskrit string").write.parquet(f"{tmp_path}/canon_texts.parquet")
+    ids = {r["chunk_id"] for r in sentences.p2_found(spark, str(tmp_path)).where(f"chunk_id < {len(late)}").collect()}
+    assert ids == set(range(len(late)))
