@@ -183,7 +183,7 @@ class NgramModel:
         """The words with a character outside the alphabet."""
         if not self.rare.search(text):
             return set()
-        return {w for w in set(WORD.findall(text)) if not w.isascii() and self.rare.search(w)}
+        return {w for w in _distinct([text]) if not w.isascii() and self.rare.search(w)}
 
     def _learn(self, grams: set[str]) -> None:
         """Remembers the log-probability of the last character of each trigram after the two before it."""
@@ -254,19 +254,73 @@ def _plain(text: str, letters: set[str]) -> bool:
     return not (LOST.search(text) or any(_sequences(e)[0].search(text) for e in ("cp1252", "cp437", "mac_roman", "cp1251")))
 
 
+#: Bits of a character: lost bytes, begins a sequence, goes on with one, outside the alphabet; and of one before another that goes on with its sequence.
+LOST_BIT, LEAD_BIT, TAIL_BIT, RARE_BIT, PAIR_BIT = 1, 2, 4, 8, 16
+
+
+@lru_cache(maxsize=1)
+def _sequence_bits() -> np.ndarray:
+    """The bits of every code point but RARE_BIT and PAIR_BIT."""
+    bits = np.zeros(0x110000, "u1")
+    for bit, letters in zip((LOST_BIT, LEAD_BIT, TAIL_BIT), (LOST_LETTERS, *_sequence_letters())):
+        bits[[ord(c) for c in letters]] |= bit
+    return bits
+
+
+def _rare_bits(alphabet: frozenset[str]) -> np.ndarray:
+    """The bits of every code point but PAIR_BIT."""
+    rare = np.full(0x110000, RARE_BIT, "u1")
+    rare[:0x80] = 0
+    rare[[ord(c) for c in alphabet]] = 0
+    return rare | _sequence_bits()
+
+
+def _codes(texts: Iterable[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "u4")
+
+
+def _found_bits(texts: list[str], bits: np.ndarray) -> list[int]:
+    """The bits that the characters of each text have."""
+    if not texts:
+        return []
+    found = bits[_codes([f"{t} " for t in texts])]  # nothing reaches across a blank, and no text is empty
+    found[:-1] |= (found[:-1] & LEAD_BIT) * (found[1:] & TAIL_BIT) // (LEAD_BIT * TAIL_BIT) * np.uint8(PAIR_BIT)
+    sizes = np.fromiter(map(len, texts), "i8", len(texts)) + 1
+    return np.bitwise_or.reduceat(found, np.cumsum(sizes) - sizes).tolist()
+
+
+def _surely_plain(found: int) -> bool:
+    """Whether the bits of a text's characters tell that it is plain; else ``_plain`` looks at the text."""
+    return not found & (LOST_BIT | PAIR_BIT)
+
+
+def _holders(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the texts, and how many of the texts hold each."""
+    codes, sizes = _codes(texts), list(map(len, texts))
+    there = np.zeros(0x110000, bool)
+    there[codes] = True
+    kinds = np.flatnonzero(there)
+    number = np.empty(0x110000, "i8")
+    number[kinds] = np.arange(len(kinds))
+    held = np.zeros((len(texts), len(kinds)), bool)
+    held[np.repeat(np.arange(len(texts)), sizes), number[codes]] = True
+    return kinds, held.sum(axis=0)
+
+
 def _alphabet(rows: DataFrame) -> tuple[str, int]:
     """Characters that a given share of all records holds, and the number of records."""
     n = rows.count()
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        seen = np.zeros(0x110000, "i8")
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                letters = set(text)
-                if _plain(text, letters):
-                    for c in letters:
-                        seen[c] = seen.get(c, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([ord(c) for c in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["c", "n"])
+            texts = batch.column(0).to_pylist()
+            texts = [t for t, bits in zip(texts, _found_bits(texts, _sequence_bits())) if _surely_plain(bits) or _plain(t, set(t))]
+            for at in range(0, len(texts), 256):
+                kinds, times = _holders(texts[at : at + 256])
+                seen[kinds] += times
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(seen[found], pa.int64())], names=["c", "n"])
 
     common = rows.select("text").mapInArrow(held, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * n)
     return "".join(chr(r["c"]) for r in common.collect()), n
@@ -277,6 +331,11 @@ def _clean(text: str, alphabet: frozenset[str]) -> bool:
     return all(c < "\x80" for c in letters - alphabet) and _plain(text, letters)
 
 
+def _distinct(texts: Iterable[str]) -> set[str]:
+    """The words of the texts, and perhaps an empty one."""
+    return set(" ".join(texts).replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" "))
+
+
 def _counts(texts: list[str]) -> list[np.ndarray]:
     """Counts of the n-grams of the texts by length and bucket; blanks in a row count as one space."""
     codes = np.frombuffer(f"  {' '.join(texts)}".encode("utf-32-le", "surrogatepass"), "u4")
@@ -309,20 +368,23 @@ def _counted(alphabet: frozenset[str]) -> Callable[[Iterator[pa.RecordBatch]], I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((FOLDS, ALL_BUCKETS), "i8")
+        bits = _rare_bits(alphabet)
         seen: dict[str, int] = {}
         for batch in batches:
             clean: list[list[str]] = [[] for _ in range(FOLDS)]
             found: list[tuple[int, list[str], int]] = []
-            for text in batch.column(0).to_pylist():
+            texts = batch.column(0).to_pylist()
+            for text, kinds in zip(texts, _found_bits(texts, bits)):
                 fold = zlib.crc32(text.encode("utf8", "surrogatepass")) % FOLDS
-                if _clean(text, alphabet):
-                    clean[fold].append(text)
+                if not kinds & RARE_BIT:
+                    if _surely_plain(kinds) or _plain(text, set(text)):
+                        clean[fold].append(text)
                 elif any(map(EIGHT_LETTER.search, odd := rare.odd_words(text))) and not LOST.search(text):
-                    found.append((1 << fold, sorted(odd), len({w for w in WORD.findall(text) if not w.isascii()})))
+                    found.append((1 << fold, sorted(odd), sum(not w.isascii() for w in _distinct([text]))))
             for fold, texts in enumerate(clean):
                 if texts:
                     sums[fold] += np.concatenate(_counts(texts))
-                    for word in set(WORD.findall(" ".join(texts))):
+                    for word in _distinct(t for t in texts if not t.isascii()):
                         if not word.isascii():
                             seen[word] = seen.get(word, 0) | 1 << fold
             if found:

@@ -39,6 +39,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,8 @@ MARK = re.compile(
     rf"|(?P<greek>;(?=\s|$|[{CLOSERS}]){TAIL})"
     r"|(?P<lines>[ \t]*\n\s*))"
 )
+#: What every mark but blanks begins with; searched far faster than MARK.
+MARK_START = re.compile(r"[।॥|/།༎༏༑۝。！？!?.…؟;\n]")
 HARD = re.compile("[.!?؟。！？।॥|།༎۝]|(?<=[α-ωἀ-ῼ]);")
 WORD = re.compile(r"[^\W_]+(?:[’'.-][^\W_]+)*", re.U)
 CJK = re.compile("[㐀-䶿一-鿿]")
@@ -81,6 +84,7 @@ BLANKS = re.compile(r"\s*")
 ENCLOSING = re.compile("[" + re.escape(OPEN + CLOSE) + '"]|\n\n')
 UPPER = re.compile("[A-ZÀ-ÖØ-ÞĀĪŪŚṢṬḌṆṂḤḶṚÑΑ-ΩА-Я]")
 NUMERAL, ROMAN, DOTTED = re.compile(rf"[{DIGITS}]{{1,4}}[a-z]?"), re.compile("[ivxlcdm]+"), re.compile(r"(?:[a-z]\.)+[a-z]")
+CLOSING = frozenset(CLOSERS)
 TOKEN_EDGE = frozenset(" \n\t([“‘«\"—–")
 BOUNDARY, INSIDE = 1, 0
 
@@ -108,22 +112,25 @@ class _Plain(dict):
 _PLAIN = _Plain()
 
 
-@lru_cache(maxsize=1)
-def _uneven() -> re.Pattern:
-    """Any character that has another plain form; most texts hold none."""
-    codes = [c for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn" and _PLAIN[c] != chr(c)]
-    runs: list[list[int]] = []
-    for c in codes:
-        if runs and c == runs[-1][1] + 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return re.compile("[\t\r\x0b\x0c" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]")
+#: By code point whether a character has another plain form; 0: not asked yet, 1: no, 2: yes.
+_UNEVEN = np.zeros(0x110000, "u1")
+_UNEVEN[0x30000:] = 1
+
+
+def _uneven(text: str) -> bool:
+    """Whether any character has another plain form; most texts hold none."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4")
+    kinds = _UNEVEN[codes].tobytes()
+    if b"\0" in kinds:
+        new = [c for c in np.unique(codes).tolist() if not _UNEVEN[c]]
+        _UNEVEN[new] = [1 + (_PLAIN[c] != chr(c)) for c in new]
+        kinds = _UNEVEN[codes].tobytes()
+    return b"\2" in kinds
 
 
 def plain_text(text: str) -> tuple[str, list[int] | None]:
     """The text in plain characters, and for each its place in the stored text (None: the same)."""
-    if not _uneven().search(text):
+    if not _uneven(text):
         return text, None
     plain = text.translate(_PLAIN)
     if len(plain) == len(text):
@@ -168,86 +175,124 @@ def _token_start(text: str, at: int, least: int) -> int:
     return at
 
 
-def candidates(text: str) -> list[tuple[int, str]]:
-    """(end, context class) of every character of a plain text that may end a sentence, in order."""
+def _marks(text: str) -> Iterator[re.Match]:
+    """The matches of MARK in a text, in order."""
+    if "ག " in text:  # these blanks count too
+        yield from MARK.finditer(text)
+        return
+    at, find, match = 0, MARK_START.search, MARK.match
+    while m := find(text, at):
+        start = m.start()
+        if m[0] == "\n":
+            while start > at and text[start - 1] in " \t":
+                start -= 1
+        if found := match(text, start):
+            yield found
+            at = found.end()
+        else:
+            at = start + 1
+
+
+@lru_cache(maxsize=1 << 16)
+def _word_before(token: str, cased: bool) -> tuple[str, bool]:
+    """The class of a word before a dot, unless it stands at a beginning, and whether it may be a Roman number."""
+    if NUMERAL.fullmatch(token):
+        return "figure", False
+    low, before = token.lower().strip(",'’"), "word"
+    if low in TITLES:
+        before = "title"
+    elif low in FINAL:
+        before = "final"
+    elif low in JOINING:
+        before = "joining"
+    elif len(token) == 1 and token.isalpha() and (token.isupper() or not cased) and not CJK.match(token):
+        before = "initial"
+    elif low in NUMBERED:
+        before = "numbered"
+    elif DOTTED.fullmatch(low):
+        before = "final"
+    elif len(low) <= 3 and cased:
+        before = "short"
+    if before != "word":
+        before += ":" + low.replace("|", "")[:16]
+    return before, bool(ROMAN.fullmatch(low))
+
+
+#: What the words that _follow looks at begin with, in lower case.
+FOLLOWING = frozenset(w[0] for w in (*ATTACHING, "the", "a"))
+
+
+def _follow(text: str, begin: int, tight: bool, closed: bool, cased: bool) -> str:
+    """The class of what follows a mark; ``tight``: without a blank between."""
+    first = text[begin : begin + 1]
+    if not first:
+        return "end"
+    word = WORD.match(text, begin, begin + 40) if first.lower() in FOLLOWING else None
+    if word and word[0].split("’")[0].lower() in ATTACHING:
+        return "attach"
+    if first in ",;:，；：、—–" or closed and first == "者":
+        return "joined"
+    if first.isdigit():
+        return "tight" if tight else "number"
+    if first.islower():
+        return "tight" if tight else "lower" if cased else "caseless"
+    if first.isupper():
+        return "article" if word and word[0] in ("The", "A", "An") else "upper"
+    return "other"
+
+
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(end, next, context class) of every character of a plain text that may end a sentence, in order; what follows begins at next."""
     spans = _enclosed(text)
     marked = bool(HARD.search(text))
     upper = len(UPPER.findall(text))
-    cased = 0.003 * len(text) < upper < 0.4 * len(text)
-    found: list[tuple[int, str]] = []
-    for m in MARK.finditer(text):
-        kind, end = m.lastgroup, m.end()
+    size = len(text)
+    cased = 0.003 * size < upper < 0.4 * size
+    found: list[tuple[int, int, str]] = []
+    last = -1  # end of the last one
+    for m in _marks(text):
+        kind, (start, end) = m.lastgroup, m.span()
         if kind == "lines":
-            end = m.start()
-            if end == 0 or m.end() == len(text) or found and found[-1][0] == end:
-                if found and found[-1][0] == end and m[0].count("\n") > 1:
-                    found[-1] = (end, found[-1][1].rpartition("|")[0] + "|paragraph")
+            if start == 0 or end == size or last == start:
+                if last == start and m[0].count("\n") > 1:
+                    found[-1] = (last, end, found[-1][2].rpartition("|")[0] + "|paragraph")
                 continue
-            inside = any(a <= end < b for a, b in spans)
-            found.append((end, f"lines|{'blank' if m[0].count(chr(10)) > 1 else 'single'}|{'marked' if marked else 'bare'}|{'in' if inside else 'out'}|line"))
+            inside = spans and any(a <= start < b for a, b in spans)
+            found.append((start, end, f"lines|{'blank' if m[0].count(chr(10)) > 1 else 'single'}|{'marked' if marked else 'bare'}|{'in' if inside else 'out'}|line"))
+            last = start
             continue
-        if kind == "ga":
-            end = m.start()
-        if kind == "greek" and not "Ͱ" <= text[m.start() - 1 : m.start()] <= "῿":
+        if kind == "greek" and not "Ͱ" <= text[start - 1 : start] <= "῿":
             continue
         mark = m[0].strip()
-        closed = kind != "ga" and any(c in CLOSERS for c in mark)
-        begin = BLANKS.match(text, end).end()
-        first = text[begin : begin + 1]
-        word = WORD.match(text, begin, begin + 40)
-        if not first:
-            follow = "end"
-        elif word and word[0].split("’")[0].lower() in ATTACHING:
-            follow = "attach"
-        elif first in ",;:，；：、—–" or closed and first == "者":
-            follow = "joined"
-        elif first.isdigit():
-            follow = "number"
-        elif first.islower():
-            follow = "lower" if cased else "caseless"
-        elif first.isupper():
-            follow = "article" if word and word[0] in ("The", "A", "An") else "upper"
-        else:
-            follow = "other"
-        if begin == end and first and follow in ("lower", "caseless", "number"):
-            follow = "tight"
+        closed = kind != "ga" and len(mark) > 1 and not CLOSING.isdisjoint(mark)
+        if kind == "ga":
+            end = start
+        begin = end
+        while begin < size and text[begin].isspace():
+            begin += 1
         before = "word"
-        if kind in ("latin", "dots") and mark[0] == ".":
-            last = found[-1][0] if found else 0
-            start = _token_start(text, m.start(), last)
-            token = text[start : m.start()]
-            low = token.lower().strip(",'’")
-            lead = start
-            while lead > last and text[lead - 1] == " ":
-                lead -= 1
-            opened = lead <= last or text[lead - 1] == "\n"
-            if NUMERAL.fullmatch(token):
-                before = "lead" if opened else "figure"
-            elif ROMAN.fullmatch(low) and text[_token_start(text, lead, last) : lead].lower() in HEADINGS:
-                before = "lead"
-            elif low in TITLES:
-                before = "title"
-            elif low in FINAL:
-                before = "final"
-            elif low in JOINING:
-                before = "joining"
-            elif len(token) == 1 and token.isalpha() and (token.isupper() or not cased) and not CJK.match(token):
-                before = "initial"
-            elif low in NUMBERED:
-                before = "numbered"
-            elif DOTTED.fullmatch(low):
-                before = "final"
-            elif len(low) <= 3 and cased:
-                before = "short"
-            if before not in ("word", "lead", "figure"):
-                before += ":" + low.replace("|", "")[:16]
-        at = end - 1 if not closed else end
-        inside = any(a <= at < b for a, b in spans)
+        if mark[:1] == "." and kind in ("latin", "dots"):
+            least = max(last, 0)
+            opening = _token_start(text, start, least)
+            before, roman = _word_before(text[opening:start], cased)
+            if before == "figure" or roman:
+                lead = opening
+                while lead > least and text[lead - 1] == " ":
+                    lead -= 1
+                if before == "figure":
+                    before = "lead" if lead <= least or text[lead - 1] == "\n" else "figure"
+                elif text[_token_start(text, lead, least) : lead].lower() in HEADINGS:
+                    before = "lead"
+        at = end if closed else end - 1
+        inside = spans and any(a <= at < b for a, b in spans)
         long = "four" if kind == "dots" and mark.startswith("....") else ""
-        found.append((end, f"{kind}{long}|{'closed' if closed else 'open'}|{before}|{'in' if inside else 'out'}|{follow}"))
+        follow = _follow(text, begin, begin == end, closed, cased)
+        found.append((end, begin, f"{kind}{long}|{'closed' if closed else 'open'}|{before}|{'in' if inside else 'out'}|{follow}"))
+        last = end
     return found
 
 
+@lru_cache(maxsize=1 << 16)
 def certain_tag(context: str) -> int | None:
     """The tag of a context that leaves no doubt, else None."""
     kind, closed, before, place, follow = context.split("|")
@@ -337,6 +382,9 @@ def learned_shares(counts: dict[str, int]) -> dict[str, float]:
     return {c: p for c, p in found.items() if certain_tag(c) is None}
 
 
+GAPS = ("none", "few", "many")
+
+
 def _gap_class(text: str, a: int, b: int) -> str:
     if b - a > 24:
         return "many"
@@ -391,6 +439,9 @@ class SentenceModel:
         for move in {v for v, _ in moves}:
             both = sum(moves.get((move, t), 0) for t in (INSIDE, BOUNDARY)) + 2.0
             self.transition[move] = tuple(math.log((moves.get((move, t), 0) + 1.0) / both) for t in (INSIDE, BOUNDARY))
+        # by gap: weighted, from inside and from a boundary
+        even = (-0.7, -0.7)
+        self.moved = {gap: [TRANSITION * p for tag in "01" for p in self.transition.get(tag + gap, even)] for gap in GAPS}
 
     def emitted(self, context: str) -> tuple[float, float]:
         """That of the context, or without its word; for one that was never counted, weakly its certain tag or inside."""
@@ -403,14 +454,14 @@ class SentenceModel:
         """The numbers of the candidates that are boundaries, by Viterbi."""
         inside, boundary = -math.inf, 0.0  # the start counts as a boundary
         back: list[tuple[bool, bool]] = []
-        even = (-0.7, -0.7)
         for context, gap in zip(contexts, gaps):
-            e = self.emitted(context)
-            a, b = self.transition.get("0" + gap, even), self.transition.get("1" + gap, even)
-            in_in, in_b = inside + TRANSITION * a[INSIDE], boundary + TRANSITION * b[INSIDE]
-            b_in, b_b = inside + TRANSITION * a[BOUNDARY], boundary + TRANSITION * b[BOUNDARY]
-            back.append((in_b >= in_in, b_b >= b_in))
-            inside, boundary = max(in_in, in_b) + e[INSIDE], max(b_in, b_b) + e[BOUNDARY]
+            e = self.emission.get(context) or self.emitted(context)
+            a_in, a_b, b_in, b_b = self.moved[gap]
+            in_in, in_b = inside + a_in, boundary + b_in
+            b_in, b_b = inside + a_b, boundary + b_b
+            first, second = in_b >= in_in, b_b >= b_in
+            back.append((first, second))
+            inside, boundary = (in_b if first else in_in) + e[INSIDE], (b_b if second else b_in) + e[BOUNDARY]
         tag, found = boundary >= inside, []
         for k in range(len(back) - 1, -1, -1):
             if tag:
@@ -434,12 +485,12 @@ def prepared(text: str) -> tuple[int, int, list[int], list[int], list[str], list
     last = len(plain.rstrip())
     stops, nexts, gaps, contexts = [], [], [], []
     before = 0
-    for end, context in candidates(plain):
+    for end, begin, context in candidates(plain):
         stop = end
         while stop > 0 and plain[stop - 1].isspace():
             stop -= 1
         stops.append(stop)
-        nexts.append(BLANKS.match(plain, end).end())
+        nexts.append(begin)
         gaps.append(_gap_class(plain, before, end))
         contexts.append(context)
         before = end
@@ -504,6 +555,8 @@ BARE_LINE = 40
 
 def script(text: str) -> str | None:
     """The script of a text that may lack marks, else None."""
+    if text.isascii():
+        return None
     return next((name for name, (letter, _) in BARE_SCRIPTS.items() if letter.search(text)), None)
 
 
@@ -536,48 +589,53 @@ def stripped_counts(texts: list[str]) -> Counter:
     return lengths
 
 
-CONTEXTS = "id bigint, first int, last int, stops array<int>, nexts array<int>, gaps array<string>, contexts array<string>, bare string, moves array<string>, counted array<struct<script: string, what: string, value: string, tag: int, n: bigint>>"
+CONTEXTS = "id bigint, first int, last int, stops array<int>, nexts array<int>, gaps array<string>, contexts array<string>, bare string, counted array<struct<script: string, what: string, value: string, tag: int, n: bigint>>"
 
 
 def text_contexts(df: DataFrame, id_col: str = "id", text_col: str = "chunk_text") -> DataFrame:
     """Every non-blank text's candidates and their contexts, found once for training and decoding.
 
-    Of texts in scripts that may lack marks, a batch's counts without the marks
-    stand on its first row.
+    A batch's counts stand on its first row: of contexts, of certain transitions,
+    and, of texts in scripts that may lack marks, those without the marks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = pa.list_(pa.struct([("script", pa.string()), ("what", pa.string()), ("value", pa.string()), ("tag", pa.int32()), ("n", pa.int64())]))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), counted)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), counted)
         for batch in batches:
             rows, texts = [], batch.column(1).to_pylist()
-            bare = stripped_counts(texts)
+            counts, moves = Counter(), Counter()
             for i, text in zip(batch.column(0).to_pylist(), texts):
                 found = prepared(text)
-                rows.append((i, *found, bare_text(text), _moves(found[4], found[5]), None))
+                counts.update(found[5])
+                moves.update(_moves(found[4], found[5]))
+                rows.append((i, *found, bare_text(text), None))
             if rows:
                 columns = [list(c) for c in zip(*rows)]
-                columns[-1][0] = [(*key, n) for key, n in bare.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split(" ")[0] for x in CONTEXTS.split(", ")[:10]])
+                columns[-1][0] = [(*key, n) for key, n in stripped_counts(texts).items()]
+                columns[-1][0] += [(None, what, value, None, n) for what, of in (("context", counts), ("move", moves)) for value, n in of.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split(" ")[0] for x in CONTEXTS.split(", ")[:9]])
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null and trim(text) <> ''")
     return rows.mapInArrow(run, CONTEXTS)
 
 
 def train(contexts: DataFrame) -> SentenceModel:
-    """The model from the contexts of all texts (``text_contexts``), counted by Spark."""
-    exact = contexts.select(F.explode("contexts").alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    """The model from the contexts of all texts (``text_contexts``), counted by batch and added up by Spark."""
+    counted = contexts.where("counted is not null").select(F.inline("counted"))
+    exact = counted.where("what = 'context'").groupBy(F.col("value").alias("c")).agg(F.sum("n").alias("n"))
     without = exact.withColumn("g", F.regexp_replace("c", r":[^|]*", "")).groupBy("g").agg(F.sum("n").alias("n"))
     # words before a dot are told apart from a number of times on
     worded = exact.where(F.col("c").contains(":")).withColumn("w", F.regexp_extract("c", r"^[^|]*\|[^|]*\|([^|]*)", 1))
     often = worded.groupBy("w").agg(F.sum("n").alias("m")).where(F.col("m") >= LEAST_WORD).select("w")
     counts = {r["g"]: r["n"] for r in without.collect()} | {r["c"]: r["n"] for r in worded.join(often, "w", "left_semi").collect()}
     moves = {}
-    for r in contexts.select(F.explode("moves").alias("m")).groupBy("m").count().collect():
-        move, tag = r["m"].split(">")
-        moves[(move, int(tag))] = r["count"]
     bare: dict[str, tuple[dict, dict]] = {}
-    for r in contexts.where("counted is not null").select(F.inline("counted")).groupBy("script", "what", "value", "tag").agg(F.sum("n").alias("n")).collect():
+    for r in counted.where("what <> 'context'").groupBy("script", "what", "value", "tag").agg(F.sum("n").alias("n")).collect():
+        if r["what"] == "move":
+            move, tag = r["value"].split(">")
+            moves[(move, int(tag))] = r["n"]
+            continue
         sides, lengths = bare.setdefault(r["script"], ({}, {}))
         if r["what"] == "length":
             lengths[int(r["value"])] = r["n"]

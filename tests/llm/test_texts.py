@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -310,3 +313,35 @@ def test_sentences_leave_out_chunks_by_margins_of_all_records(spark, tmp_path):
     spark.createDataFrame([(1, "again")], "id bigint, title_sanskrit string").write.parquet(f"{tmp_path}/canon_texts.parquet")
     ids = {r["chunk_id"] for r in sentences.p2_found(spark, str(tmp_path)).where(f"chunk_id < {len(late)}").collect()}
     assert ids == set(range(len(late)))
+
+
+def test_contexts_are_counted_by_batch_and_all_of_them(spark):
+    """A batch sends each of its contexts and transitions once, and the model's counts are those of all texts."""
+    rows = [(i, text) for i, text in enumerate(["Dr. Rao came. He saw 山。 Is it?\n\nNo.", "One (two. three). Four... five", "ག །།\nཀ ཁ"] * 40)]
+    contexts = sentences.text_contexts(spark.createDataFrame(rows, TEXTS).coalesce(1), "id", "text")
+    every = Counter(c for _, text in rows for c in sentences.prepared(text)[5])
+    moves = Counter(m for _, text in rows for m in sentences._moves(*sentences.prepared(text)[4:]))
+    counted = contexts.where("counted is not null").selectExpr("inline(counted)").where("what in ('context', 'move')").collect()
+    assert len(counted) == len(every) + len(moves)
+    assert {(r["what"], r["value"]): r["n"] for r in counted} == {("context", c): n for c, n in every.items()} | {("move", m): n for m, n in moves.items()}
+    model = sentences.train(contexts)
+    assert {sentences.general(c) for c in every} <= set(model.emission)
+    whole = sentences.SentenceModel(
+        dict(sum((Counter({sentences.general(c): n}) for c, n in every.items()), Counter())) | {c: n for c, n in every.items() if ":" in c},
+        {(m.split(">")[0], int(m.split(">")[1])): n for m, n in moves.items()},
+    )
+    assert model.transition == whole.transition and model.emission == whole.emission
+
+
+def test_quick_searches_find_what_the_patterns_find():
+    """Marks, other plain forms and wrongly read sequences, on texts strung together at random."""
+    pick = random.Random(7)
+    parts = [*" \n\t.!?…।॥|/།༎གཀ；;:,“”\"'’()[]01²*†aBαω۝。！？山\r\x0b\xa0\x85​ﬁÃ©Â¶â€œ�\x81Ðõ€", " \n", "ག ", ". . .", "....", "\n\n"]
+    texts = ["".join(pick.choices(parts, k=pick.randint(1, 40))) for _ in range(4000)]
+    for text, bits in zip(texts, mojibake._found_bits(texts, mojibake._sequence_bits())):
+        plain = "".join(map(sentences._PLAIN.__getitem__, map(ord, text)))
+        assert sentences._uneven(text) == (plain != text)
+        assert [m.span() for m in sentences._marks(plain)] == [m.span() for m in sentences.MARK.finditer(plain)]
+        assert mojibake._surely_plain(bits) == (not mojibake.LOST.search(text) and not mojibake._any_sequence().search(text))
+    kinds, times = mojibake._holders(texts)
+    assert {chr(c): n for c, n in zip(kinds.tolist(), times.tolist())} == Counter(c for text in texts for c in set(text))
